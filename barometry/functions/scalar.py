@@ -28,10 +28,7 @@ def percent(c: Column, digits: int = 1) -> Column:
 
 def count_present(columns: list[str]) -> Column:
     """Row-wise number of non-null values."""
-    total = F.lit(0)
-    for name in columns:
-        total = total + F.col(name).isNotNull().cast("int")
-    return total
+    return F.expr(" + ".join(f"int({name} is not null)" for name in columns) or "0")
 
 
 def title_case(c: Column) -> Column:

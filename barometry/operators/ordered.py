@@ -22,22 +22,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from barometry.functions.scalar import zscore
+from barometry.functions.scalar import clip
 
-IDX, BLOCK, BUCKET = "_idx", "_block", "_bucket"
+IDX, BLOCK, RUN, BUCKET = "_idx", "_block", "_run", "_bucket"
 
 
 @dataclass(frozen=True)
 class Series:
-    """How rows form series: key and order columns, and the sizes of buckets and blocks."""
+    """How rows form series: key and order columns, and the sizes of buckets, blocks and runs.
+
+    A run is a stretch of ``run_rows`` rows inside a block. Windows order by (run, index), so windows
+    over blocks and windows over runs need the same sort.
+    """
 
     key: str = "ticker"
     order: str = "time"
     bucket: str = "month"
     block_rows: int = 262_144
+    run_rows: int = 252
 
     def window(self) -> WindowSpec:
-        return Window.partitionBy(self.key, BLOCK).orderBy(IDX)
+        return Window.partitionBy(self.key, BLOCK).orderBy(RUN, IDX)
 
     def last(self, n: int) -> WindowSpec:
         """Frame of the current row and the ``n - 1`` rows before it."""
@@ -98,13 +103,14 @@ def over_blocks(df: DataFrame, step: Step, halo: int, series: Series = TICKER_TI
         return step(df)
     numbered = df if IDX in df.columns else row_index(df, series)
     home = F.expr(f"_idx div {series.block_rows}L")
+    run = F.expr(f"_idx div {series.run_rows}L")
     if halo:
         reach = F.expr(f"(_idx + {halo}L) div {series.block_rows}L")
-        laid = numbered.withColumn(BLOCK, F.explode(F.sequence(home, reach)))
+        laid = numbered.select("*", run.alias(RUN), F.explode(F.sequence(home, reach)).alias(BLOCK))
         out = step(laid).filter(F.col(BLOCK) == home)
     else:
-        out = step(numbered.withColumn(BLOCK, home))
-    return out.drop(BLOCK, *([] if IDX in df.columns else [IDX]))
+        out = step(numbered.select("*", run.alias(RUN), home.alias(BLOCK)))
+    return out.drop(BLOCK, RUN, *([] if IDX in df.columns else [IDX]))
 
 
 # -- rolling statistics ------------------------------------------------------------------------
@@ -131,98 +137,136 @@ def rolling_zscores(
     variance are kept forwards and backwards over each stretch and the two parts are merged with the
     pairwise variance formula, which has no cancellation. A constant frame gives 0.
     """
-    stretch = "_stretch"
-    df = df.withColumn(stretch, F.expr(f"_idx div {n}L"))
-    parts = Window.partitionBy(series.key, BLOCK, stretch)
-    forwards = parts.orderBy(F.col(IDX)).rowsBetween(Window.unboundedPreceding, 0)
-    backwards = parts.orderBy(F.col(IDX).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    stretch = RUN
+    if n != series.run_rows:
+        stretch = "_stretch"
+        df = df.withColumn(stretch, F.expr(f"_idx div {n}L"))
+    up_to = (Window.unboundedPreceding, 0)
+    forwards = Window.partitionBy(series.key, BLOCK, stretch).orderBy(F.col(IDX)).rowsBetween(*up_to)
+    # Stretches run backwards too, so that one sort serves the last two windows.
+    from_end = Window.partitionBy(series.key, BLOCK, "_back").orderBy(F.col(IDX).desc())
+    reversed_block = Window.partitionBy(series.key, BLOCK).orderBy("_back", F.col(IDX).desc())
     sources = list(dict.fromkeys(columns.values()))
 
-    def moments(frame: WindowSpec) -> Column:
-        return F.struct(*[
-            F.struct(
-                F.count(c).over(frame).alias("n"),
-                F.avg(c).over(frame).alias("mean"),
-                F.var_pop(c).over(frame).alias("var"),
-                F.col(c).cast("double").alias("x"),
-            ).alias(c)
+    def moments(prefix: str, frame: WindowSpec) -> dict[str, Column]:
+        return {
+            f"{prefix}{kind}_{c}": measure(c).over(frame)
             for c in sources
-        ])
+            for kind, measure in (("n", F.count), ("m", F.avg), ("v", F.var_pop))
+        }
+
+    kept = [c for c in df.columns if c != "_stretch"]
+    df = df.withColumns({**moments("_h", forwards), "_back": -F.col(stretch)})
+    df = df.withColumns(moments("_t", from_end.rowsBetween(*up_to)))
+    tail = F.struct(*[F.col(f"_t{k}_{c}") for c in sources for k in "nmv"], *[F.col(c) for c in sources])
+    # The stretch that just ended, seen from n - 1 rows before; none where one stretch is the frame.
+    whole = F.expr(f"_idx % {n}L = {n - 1}L")
+    df = df.withColumn("_tail", F.when(~whole, F.lead(tail, n - 1).over(reversed_block)))
+
+    # SQL text rather than Column calls: the same expressions, built much faster for many columns.
+    # Conditions and values are named step by step, so that none is repeated when the plan is merged.
+    parts = [sql for c in sources for sql in (
+        f"_hn_{c} + coalesce(_tail._tn_{c}, 0L) = {n} as _full_{c}",
+        f"cast(coalesce(_tail._tn_{c}, 0L) as double) as _n2_{c}",
+        f"coalesce(_tail._tm_{c}, 0D) as _m2_{c}",
+        f"coalesce(_tail._tv_{c}, 0D) as _v2_{c}",
+        f"coalesce(_tail.{c} = {c}, true) as _ends_{c}",
+    )]
+    merged = [sql for c in sources for sql in (
+        f"_full_{c}",
+        f"_full_{c} and _ends_{c} and _hv_{c} = 0 and _v2_{c} = 0 as _same_{c}",
+        f"(_hn_{c} * _hm_{c} + _n2_{c} * _m2_{c}) / {n}D as _mean_{c}",
+        f"sqrt((_hn_{c} * _hv_{c} + _n2_{c} * _v2_{c}"
+        f" + pow(_hm_{c} - _m2_{c}, 2) * _hn_{c} * _n2_{c} / {n}D) / {n - 1}D) as _std_{c}",
+    )]
+    scores = [
+        f"case when _same_{c} then 0D when _full_{c} then"
+        f" greatest(least(({c} - _mean_{c}) / greatest(_std_{c}, 1e-8D), {limit}D), -{limit}D) end as {out}"
+        for out, c in columns.items()
+    ]
+    df = df.selectExpr(*kept, *[f"_h{k}_{c}" for c in sources for k in "nmv"], *parts)
+    return df.selectExpr(*kept, *merged).selectExpr(*kept, *scores)
 
-    df = df.withColumn("_head", moments(forwards)).withColumn("_tail", moments(backwards))
-    df = df.withColumn("_tail", F.lag("_tail", n - 1).over(series.window()))
-    whole = F.expr(f"_idx % {n}L") == n - 1
 
-    def score(c: str) -> Column:
-        head, tail = F.col(f"_head.{c}"), F.col(f"_tail.{c}")
-        n1, m1 = head["n"].cast("double"), head["mean"]
-        n2 = F.when(whole, F.lit(0.0)).otherwise(F.coalesce(tail["n"], F.lit(0)).cast("double"))
-        m2 = F.coalesce(F.when(n2 > 0, tail["mean"]), m1)
-        v2 = F.coalesce(F.when(n2 > 0, tail["var"]), F.lit(0.0))
-        mean = (n1 * m1 + n2 * m2) / n
-        spread = n1 * head["var"] + n2 * v2 + (m1 - m2) * (m1 - m2) * n1 * n2 / n
-        constant = (head["var"] == 0) & (v2 == 0) & (whole | (head["x"] == tail["x"]))
-        z = zscore(head["x"], mean, F.sqrt(spread / (n - 1)), limit)
-        return F.when(n1 + n2 == n, F.when(constant, F.lit(0.0)).otherwise(z))
+# -- exponentially weighted means ----------------------------------------------------------------
 
-    return df.withColumns({out: score(c) for out, c in columns.items()}).drop(stretch, "_head", "_tail")
+# Weights below exp(-69) = 1e-30 of the newest are dropped: 14 digits beyond double precision.
+_NEGLIGIBLE = 69.0
+_MAX_RUNS_BACK = 4
 
 
-# -- exponentially weighted means ----------------------------------------------------------------
+@dataclass(frozen=True)
+class Ewm:
+    """An exponentially weighted mean of ``src`` as ``out``.
 
-_UNDERFLOW = 745.2   # exp(-745.2) is 0 in double precision
-_RUN_EXPONENT = 230  # exp(230) = 1e100: room for any price or volume before overflow
+    ``adjust=False`` is the recursion y = (1-alpha)*y_prev + alpha*x started at the first value;
+    ``adjust=True`` divides the weighted sum by the sum of the weights.
+    """
+
+    out: str
+    src: str
+    alpha: float
+    adjust: bool = False
+
+    @property
+    def decay(self) -> float:
+        return -math.log1p(-self.alpha)
 
 
 def ewm_reach(alpha: float) -> int:
-    """Rows after which a weight ``(1 - alpha)**k`` is exactly zero in double precision."""
-    return math.ceil(_UNDERFLOW / -math.log1p(-alpha)) + 1
+    """Rows after which a weight ``(1 - alpha)**k`` is negligible."""
+    return math.ceil(_NEGLIGIBLE / -math.log1p(-alpha)) + 1
 
 
-def ewm_mean(
-    df: DataFrame, columns: Mapping[str, str], alpha: float, adjust: bool = False,
-    series: Series = TICKER_TIME,
-) -> DataFrame:
-    """Add exponentially weighted means ``{output: input}`` to a laid-out frame.
+def ewm_mean(df: DataFrame, means: Sequence[Ewm], series: Series = TICKER_TIME) -> DataFrame:
+    """Add exponentially weighted means to a laid-out frame, all in one pass where runs allow.
 
-    The recursion ``y = (1-alpha)*y_prev + alpha*x`` becomes a running sum of ``x / (1-alpha)**p``
-    over runs short enough not to overflow, plus what the few runs before still weigh. Inputs may
-    have leading nulls only, and the inputs of one call must share them.
+    Spark windows cannot recurse. Within a run of rows the recursion is a running sum of
+    ``x / (1-alpha)**p``, p being the position in the run; the ends of the few runs before, decayed,
+    are added to it. Inputs may have leading nulls only.
     """
-    q = 1.0 - alpha
-    decay = -math.log1p(-alpha)
-    run_rows = max(1, int(_RUN_EXPONENT / decay))
-    runs_back = math.ceil(_UNDERFLOW / (run_rows * decay))
-    first = next(iter(columns.values()))
+    run_rows = series.run_rows
+    slow = [m for m in means if _NEGLIGIBLE / (run_rows * m.decay) > _MAX_RUNS_BACK]
+    if slow:  # long memory: longer runs, hence a pass of their own
+        run_rows = math.ceil(_NEGLIGIBLE / (_MAX_RUNS_BACK * min(m.decay for m in slow)))
+        fast = [m for m in means if m not in slow]
+        df = ewm_mean(df, fast, series) if fast else df
+        means = slow
+    if any(run_rows * m.decay > 600 for m in means):
+        raise ValueError("alpha too close to 1 for these runs: use a Series with smaller run_rows")
+    run = RUN if run_rows == series.run_rows else "_long_run"
+    if run != RUN:
+        df = df.withColumn(run, F.expr(f"_idx div {run_rows}L"))
+
+    kept = df.columns
     so_far = series.window().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_k", F.count(first).over(so_far) - 1)
-    df = df.withColumn("_run", F.floor(F.col("_k") / run_rows))
-    df = df.withColumn("_p", F.col("_k") - F.col("_run") * run_rows)
-
-    in_run = Window.partitionBy(series.key, BLOCK, "_run").orderBy(IDX).rowsBetween(
+    in_run = Window.partitionBy(series.key, BLOCK, run).orderBy(IDX).rowsBetween(
         Window.unboundedPreceding, 0)
-    weight = F.lit(1.0) if adjust else F.when(F.col("_k") == 0, 1.0).otherwise(alpha)
-    up, down = F.pow(F.lit(q), F.col("_p")), F.pow(F.lit(q), -F.col("_p"))
+    by_run = Window.partitionBy(series.key, BLOCK).orderBy(run)
+    place = F.expr(f"_idx % {run_rows}L")
+
+    df = df.withColumns({f"_k_{c}": F.count(c).over(so_far) for c in {m.src: 0 for m in means}})
     df = df.withColumns({
-        f"_local_{out}": up * F.sum(weight * F.col(src) * down).over(in_run)
-        for out, src in columns.items()
+        f"_local_{m.out}": F.sum(
+            F.when((F.col(f"_k_{m.src}") == 1) | F.lit(m.adjust), 1.0).otherwise(m.alpha)
+            * F.col(m.src) * F.exp(place * m.decay)
+        ).over(in_run)
+        for m in means
     })
 
-    by_run = Window.partitionBy(series.key, BLOCK).orderBy("_run")
-
-    def value(out: str, src: str) -> Column:
-        closing = F.when(F.col("_p") == run_rows - 1, F.col(f"_local_{out}"))
-        carry = F.lit(0.0)
-        for back in range(1, runs_back + 1):
+    def value(m: Ewm) -> Column:
+        total = F.col(f"_local_{m.out}")
+        closing = F.when(place == run_rows - 1, total)
+        for back in range(1, math.ceil(_NEGLIGIBLE / (run_rows * m.decay)) + 1):
             ended = F.max(closing).over(by_run.rangeBetween(-back, -back))
-            carry = carry + F.coalesce(ended, F.lit(0.0)) * (q ** (run_rows * (back - 1)))
-        y = F.col(f"_local_{out}") + carry * up * q
-        if adjust:
-            y = y * alpha / (1.0 - F.pow(F.lit(q), F.col("_k") + 1))
-        return F.when(F.col(src).isNotNull(), y)
-
-    df = df.withColumns({out: value(out, src) for out, src in columns.items()})
-    return df.drop("_k", "_run", "_p", *[f"_local_{out}" for out in columns])
+            total = total + F.coalesce(ended, F.lit(0.0)) * math.exp(-m.decay * run_rows * back)
+        y = total * F.exp(place * -m.decay)
+        if m.adjust:
+            y = y * m.alpha / (1.0 - F.exp(F.col(f"_k_{m.src}") * -m.decay))
+        return F.when(F.col(m.src).isNotNull(), y).alias(m.out)
+
+    out = df.select(*kept, *[value(m) for m in means])
+    return out.drop("_long_run") if run != RUN else out
 
 
 # -- latest rows and duplicates --------------------------------------------------------------------
