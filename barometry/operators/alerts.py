@@ -37,7 +37,8 @@ def _alert(condition: Column, kind: str, severity: Column, payload: Column) -> C
 
 def _to_alerts(df: DataFrame, rules: list[Column]) -> DataFrame:
     raised = df.select("time", "ticker", F.explode(F.array_compact(F.array(*rules))).alias("a"))
-    key = F.concat_ws("|", F.col("ticker"), F.col("time").cast("string"), F.col("alert_type"))
+    key = F.concat_ws("|", F.col("ticker"), F.unix_micros(F.col("time").cast("timestamp")).cast("string"),
+                      F.col("alert_type"))
     return raised.select("time", "ticker", "a.*").select(
         F.sha2(key, 256).alias("id"), "time", "ticker", "alert_type", "severity", "payload",
         F.lit(False).alias("read"))

@@ -84,3 +84,84 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _sql(spark, folder, """
         select ts, event_type, case when event_type = 'error' then 'error' else 'success' end as status,
                value as seconds from {events}""", "events")
+
+
+def ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """Intraday bars: one per event."""
+    return _sql(spark, folder, """
+        select ts as time, event_type as ticker, value as open, value * 1.5D as high, value * 0.5D as low,
+               value * 1.25D as close, event_id % 97 as volume
+        from {events}""", "events")
+
+
+def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars with vwap and source, as the bar table keeps them."""
+    return bars(spark, folder).selectExpr(
+        "time", "ticker", "open", "high", "low", "close", "volume",
+        "case when volume % 2 = 0 then (high + low) / 2 end as vwap", "'yfinance' as source")
+
+
+def incoming_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """A later delivery: every second day again with other prices, and every day once more a year on."""
+    stored = stored_bars(spark, folder)
+    again = stored.filter("dayofmonth(time) % 2 = 0").selectExpr(
+        "time", "ticker", "open * 2 as open", "high * 2 as high", "low * 2 as low", "close * 2 as close",
+        "volume + 1 as volume", "cast(null as double) as vwap", "'polygon' as source")
+    later = stored.selectExpr(
+        "time + interval 3650 days as time", "ticker", "open", "high", "low", "close", "volume", "vwap",
+        "'polygon' as source")
+    return again.unionByName(later)
+
+
+def macro_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Macro rows unique per series and time."""
+    return macro(spark, folder).groupBy("series_id", "time").agg({"value": "max"}).selectExpr(
+        "time", "series_id", "`max(value)` as value", "'fred' as source")
+
+
+def responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Macro service responses as JSON: two observations each, some missing, broken or without a date."""
+    return _sql(spark, folder, """
+        select case o_orderpriority when '1-URGENT' then 'VIXCLS' when '2-HIGH' then 'T10Y2Y'
+                    when '3-MEDIUM' then 'BAMLH0A0HYM2' when '4-NOT SPECIFIED' then 'DGS10'
+                    else 'DGS2' end as series_id,
+               to_json(named_struct('observations', array(
+                   named_struct('date', date_format(o_orderdate, 'yyyy-MM-dd'),
+                                'value', if(o_orderstatus = 'F', '.', cast(o_totalprice as string))),
+                   named_struct('date', if(o_orderstatus = 'O', cast(null as string),
+                                           date_format(o_orderdate + interval 1 day, 'yyyy-MM-dd')),
+                                'value', if(o_custkey % 2 = 0, 'n/a', cast(o_orderkey as string)))))) as body
+        from {orders}""", "orders")
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Topic messages with two records each; errors travel on a topic nobody reads."""
+    return _sql(spark, folder, """
+        select case event_type when 'click' then 'ohlcv' when 'view' then 'ohlcv' when 'signup' then 'macro'
+                    when 'purchase' then 'options' else 'other' end as topic,
+               to_json(named_struct(
+                   'batch_id', cast(event_id as string), 'source', 'ingestion-service',
+                   'data_type', event_type, 'record_count', 2,
+                   'records', array(
+                       named_struct('time', cast(ts as timestamp), 'ticker', concat('U', user_id % 15),
+                            'series_id', 'VIXCLS', 'value', value, 'open', value, 'close', value + 1,
+                            'volume', event_id, 'put_call_ratio', value / 2, 'gex_proxy', value * 2),
+                       named_struct('time', cast(ts as timestamp), 'ticker', 'ALL',
+                            'series_id', 'DGS2', 'value', value * 2, 'open', value * 3, 'close', value,
+                            'volume', event_id + 1, 'put_call_ratio', value, 'gex_proxy', -value))),
+                   map('timestampFormat', "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")) as value
+        from {events}""", "events")
+
+
+def probabilities(spark: SparkSession, folder: str) -> DataFrame:
+    """Two probability vectors per row from the first eight embedding entries."""
+    return _sql(spark, folder, """
+        select vec_id,
+               transform(slice(embedding, 1, 4), x -> (abs(cast(x as double)) + 1e-6D)
+                   / aggregate(slice(embedding, 1, 4), 0D, (a, y) -> a + abs(cast(y as double)) + 1e-6D))
+                   as hmm_prob,
+               transform(slice(embedding, 5, 4), x -> (abs(cast(x as double)) + 1e-6D)
+                   / aggregate(slice(embedding, 5, 4), 0D, (a, y) -> a + abs(cast(y as double)) + 1e-6D))
+                   as seq_prob,
+               transform(slice(embedding, 1, 4), x -> cast(x as double)) as logits
+        from {embeddings}""", "embeddings")

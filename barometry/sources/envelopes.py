@@ -14,6 +14,9 @@ TOPICS = {
     "options": schemas.OPTIONS_METRICS,
 }
 MAX_RECORDS = 5_000
+# JSON times keep their microseconds.
+JSON_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def publish_envelope(
@@ -35,7 +38,7 @@ def publish_envelope(
         .alias("batch_id"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ingested_at"),
         F.lit(source).alias("source"), F.lit(data_type).alias("data_type"), "record_count",
-        F.transform("_rows", lambda x: x["r"]).alias("records")))
+        F.transform("_rows", lambda x: x["r"]).alias("records")), JSON_TIMES)
     return packed.select(F.col(series.key).alias("key"), value.alias("value"))
 
 
@@ -46,7 +49,8 @@ def publish_latest_features(features: DataFrame, data_type: str = "features") ->
 
 def publish_signal(signals: DataFrame) -> DataFrame:
     """One JSON message per signal, keyed by ticker."""
-    return signals.select(F.col("ticker").alias("key"), F.to_json(F.struct(*signals.columns)).alias("value"))
+    return signals.select(F.col("ticker").alias("key"), F.to_json(
+        F.struct(*signals.columns), JSON_TIMES).alias("value"))
 
 
 def explode_envelope(messages: DataFrame, topic: str, records: T.StructType, value: str = "value") -> DataFrame:

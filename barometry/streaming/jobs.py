@@ -1,13 +1,13 @@
 """Structured Streaming jobs. Batches reuse the batch operators; all state lives in the shared folder.
 
-Every sink is replay-safe: a batch writes below its own id, or replaces whole (ticker, day)
-partitions, so a batch that is retried after a failure gives the same tables.
+Every sink is replay-safe: a batch writes below its own id, or replaces whole (ticker,
+period) partitions, so a batch that is retried after a failure gives the same tables.
 """
 
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -17,7 +17,7 @@ from barometry.operators.aggregates import daily_aggregates
 from barometry.operators.alerts import alert_rules, regime_transitions
 from barometry.operators.ordered import dedupe_keep_last, latest_n
 from barometry.operators.reads import stitch_history
-from barometry.plans.pipeline import INDICATOR_REACH, feature_pipeline
+from barometry.plans.features import INDICATOR_REACH, feature_pipeline
 from barometry.plans.training import Models, infer_all
 from barometry.sources.envelopes import publish_latest_features, publish_signal
 from barometry.sources.store import upsert, upsert_bars
@@ -70,22 +70,30 @@ def batch_results(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.createDataFrame([], schema) if found is None else found
 
 
-# -- keyed tables, partitioned by ticker and day ------------------------------------------------------
+# -- keyed tables, partitioned by ticker and period ---------------------------------------------------
 
-def upsert_partitions(batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Merge a batch into a table partitioned by (ticker, day); only the touched partitions are rewritten."""
+PERIOD = "year"  # partitions of daily bars; use "month" or "day" for bars of minutes or seconds
+
+
+def period_of(column: str = "time", period: str = PERIOD) -> Column:
+    return F.to_date(F.date_trunc(period, F.col(column)))
+
+
+def upsert_partitions(
+    batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], period: str = PERIOD
+) -> None:
+    """Merge a batch into a table partitioned by (ticker, period), rewriting touched partitions only."""
     spark = batch.sparkSession
-    fresh = batch.withColumn("day", F.to_date("time"))
+    fresh = batch.withColumn("period", period_of(period=period))
     stored = read_if_written(spark, path)
     if stored is not None:
-        touched = fresh.select("ticker", "day").distinct()
-        stored = stored.select(*fresh.columns).join(touched, ["ticker", "day"], "left_semi")
-        names = [c for c in fresh.columns if c != "day"]
-        fresh = merge(stored.select(names), fresh.select(names)).withColumn("day", F.to_date("time"))
+        touched = fresh.select("ticker", "period").distinct()
+        own = stored.select(*fresh.columns).join(touched, ["ticker", "period"], "left_semi")
+        fresh = merge(own.select(*batch.columns), batch).withColumn("period", period_of(period=period))
     (
-        fresh.repartitionByRange("ticker", "day", "time").sortWithinPartitions("ticker", "day", "time")
+        fresh.repartitionByRange("ticker", "period", "time").sortWithinPartitions("ticker", "period", "time")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ticker", "day").parquet(path))
+        .partitionBy("ticker", "period").parquet(path))
 
 
 def late_data_upsert(batch: DataFrame, path: str) -> None:
@@ -130,21 +138,18 @@ def feature_batches(
             if bars.isEmpty():
                 return
             late_data_upsert(bars, bars_path)
-            days = bars.select("ticker", F.to_date("time").alias("day")).distinct()
+            rows = bars
             if with_history:
-                # Late bars change everything after them, hence all rows from the first touched day on.
-                first = days.groupBy("ticker").agg(F.min("day").alias("_first"))
-                stored = spark.read.parquet(bars_path).select(*batch.columns, "day").join(first, "ticker")
-                after = stored.filter(F.col("day") >= F.col("_first"))
-                before = latest_n(stored.filter(F.col("day") < F.col("_first")), reach)
-                source = before.unionByName(after).select(*batch.columns, "_first")
-            else:
-                source = bars.withColumn("_first", F.to_date("time"))
-            rows = source.drop("_first")
+                # Late bars change all that follows, hence all rows from the first touched period on.
+                first = bars.groupBy("ticker").agg(F.min(period_of()).alias("_first"))
+                stored = spark.read.parquet(bars_path).join(first, "ticker")
+                after = stored.filter(F.col("period") >= F.col("_first"))
+                before = latest_n(stored.filter(F.col("period") < F.col("_first")), reach)
+                rows = before.unionByName(after).select(*batch.columns)
             features = feature_pipeline(rows, macro(), options())
             if with_history:
                 features = features.join(first, "ticker").filter(
-                    F.to_date("time") >= F.col("_first")).drop("_first")
+                    period_of() >= F.col("_first")).select(*features.columns)
             features = features.persist()
             upsert_partitions(features, features_path, lambda old, new: upsert(old, new, ["ticker", "time"]))
             publish_latest_features(features).write.mode("overwrite").parquet(
