@@ -24,15 +24,15 @@ from pyspark.sql.window import WindowSpec
 
 from barometry.functions.scalar import clip
 
-IDX, BLOCK, RUN, BUCKET = "_idx", "_block", "_run", "_bucket"
+IDX, BLOCK, STRETCH, RUN, BUCKET = "_idx", "_block", "_stretch", "_run", "_bucket"
 
 
 @dataclass(frozen=True)
 class Series:
     """How rows form series: key and order columns, and the sizes of buckets, blocks and runs.
 
-    A run is a stretch of ``run_rows`` rows inside a block. Windows order by (run, index), so windows
-    over blocks and windows over runs need the same sort.
+    Inside a block, runs of ``run_rows`` rows form stretches of ``run_rows * runs`` rows. Windows order
+    by (stretch, run, index), so windows over blocks, stretches and runs all need the same one sort.
     """
 
     key: str = "ticker"
@@ -40,9 +40,14 @@ class Series:
     bucket: str = "month"
     block_rows: int = 262_144
     run_rows: int = 252
+    runs: int = 4
+
+    @property
+    def stretch_rows(self) -> int:
+        return self.run_rows * self.runs
 
     def window(self) -> WindowSpec:
-        return Window.partitionBy(self.key, BLOCK).orderBy(RUN, IDX)
+        return Window.partitionBy(self.key, BLOCK).orderBy(STRETCH, RUN, IDX)
 
     def last(self, n: int) -> WindowSpec:
         """Frame of the current row and the ``n - 1`` rows before it."""
@@ -103,14 +108,16 @@ def over_blocks(df: DataFrame, step: Step, halo: int, series: Series = TICKER_TI
         return step(df)
     numbered = df if IDX in df.columns else row_index(df, series)
     home = F.expr(f"_idx div {series.block_rows}L")
-    run = F.expr(f"_idx div {series.run_rows}L")
+    block = home
+    if halo:
+        block = F.explode(F.sequence(home, F.expr(f"(_idx + {halo}L) div {series.block_rows}L")))
+    laid = numbered.select(
+        "*", F.expr(f"_idx div {series.stretch_rows}L").alias(STRETCH),
+        F.expr(f"_idx div {series.run_rows}L").alias(RUN), block.alias(BLOCK))
+    out = step(laid)
     if halo:
-        reach = F.expr(f"(_idx + {halo}L) div {series.block_rows}L")
-        laid = numbered.select("*", run.alias(RUN), F.explode(F.sequence(home, reach)).alias(BLOCK))
-        out = step(laid).filter(F.col(BLOCK) == home)
-    else:
-        out = step(numbered.select("*", run.alias(RUN), home.alias(BLOCK)))
-    return out.drop(BLOCK, RUN, *([] if IDX in df.columns else [IDX]))
+        out = out.filter(F.col(BLOCK) == home)
+    return out.drop(BLOCK, STRETCH, RUN, *([] if IDX in df.columns else [IDX]))
 
 
 # -- rolling statistics ------------------------------------------------------------------------
@@ -132,18 +139,18 @@ def rolling_zscores(
 ) -> DataFrame:
     """Add z-scores ``{output: input}`` against the last ``n`` rows, at O(1) work per row and column.
 
-    A moving frame would visit ``n`` rows for every row. Instead the series is cut at multiples of
-    ``n``; any frame is the end of one stretch plus the start of the next. Running count, mean and
-    variance are kept forwards and backwards over each stretch and the two parts are merged with the
-    pairwise variance formula, which has no cancellation. A constant frame gives 0.
+    A moving frame would visit ``n`` rows for every row. Instead the series is cut into runs of ``n``
+    rows; any frame is the end of one run plus the start of the next. Running count, mean and variance
+    are kept forwards and backwards over each run and the two parts are merged with the pairwise
+    variance formula, which has no cancellation. A constant frame gives 0.
     """
-    stretch = RUN
+    run = [STRETCH, RUN]
     if n != series.run_rows:
-        stretch = "_stretch"
-        df = df.withColumn(stretch, F.expr(f"_idx div {n}L"))
+        run = ["_own_run"]
+        df = df.withColumn("_own_run", F.expr(f"_idx div {n}L"))
     up_to = (Window.unboundedPreceding, 0)
-    forwards = Window.partitionBy(series.key, BLOCK, stretch).orderBy(F.col(IDX)).rowsBetween(*up_to)
-    # Stretches run backwards too, so that one sort serves the last two windows.
+    forwards = Window.partitionBy(series.key, BLOCK, *run).orderBy(IDX).rowsBetween(*up_to)
+    # Runs are numbered backwards too, so that one sort serves the last two windows.
     from_end = Window.partitionBy(series.key, BLOCK, "_back").orderBy(F.col(IDX).desc())
     reversed_block = Window.partitionBy(series.key, BLOCK).orderBy("_back", F.col(IDX).desc())
     sources = list(dict.fromkeys(columns.values()))
@@ -155,11 +162,11 @@ def rolling_zscores(
             for kind, measure in (("n", F.count), ("m", F.avg), ("v", F.var_pop))
         }
 
-    kept = [c for c in df.columns if c != "_stretch"]
-    df = df.withColumns({**moments("_h", forwards), "_back": -F.col(stretch)})
+    kept = [c for c in df.columns if c != "_own_run"]
+    df = df.withColumns({**moments("_h", forwards), "_back": -F.col(run[-1])})
     df = df.withColumns(moments("_t", from_end.rowsBetween(*up_to)))
     tail = F.struct(*[F.col(f"_t{k}_{c}") for c in sources for k in "nmv"], *[F.col(c) for c in sources])
-    # The stretch that just ended, seen from n - 1 rows before; none where one stretch is the frame.
+    # The run that just ended, seen from n - 1 rows before; none where one run is the frame.
     whole = F.expr(f"_idx % {n}L = {n - 1}L")
     df = df.withColumn("_tail", F.when(~whole, F.lead(tail, n - 1).over(reversed_block)))
 
@@ -192,7 +199,7 @@ def rolling_zscores(
 
 # Weights below exp(-69) = 1e-30 of the newest are dropped: 14 digits beyond double precision.
 _NEGLIGIBLE = 69.0
-_MAX_RUNS_BACK = 4
+_MAX_EXPONENT = 600.0  # exp(600) leaves room for any price before overflow
 
 
 @dataclass(frozen=True)
@@ -221,52 +228,46 @@ def ewm_reach(alpha: float) -> int:
 def ewm_mean(df: DataFrame, means: Sequence[Ewm], series: Series = TICKER_TIME) -> DataFrame:
     """Add exponentially weighted means to a laid-out frame, all in one pass where runs allow.
 
-    Spark windows cannot recurse. Within a run of rows the recursion is a running sum of
-    ``x / (1-alpha)**p``, p being the position in the run; the ends of the few runs before, decayed,
-    are added to it. Inputs may have leading nulls only.
+    Spark windows cannot recurse. Within a stretch of rows the recursion is a running sum of
+    ``x / (1-alpha)**p``, p being the place in the stretch; the end of the stretch before, decayed, is
+    added to it. Inputs may have leading nulls only.
     """
-    run_rows = series.run_rows
-    slow = [m for m in means if _NEGLIGIBLE / (run_rows * m.decay) > _MAX_RUNS_BACK]
-    if slow:  # long memory: longer runs, hence a pass of their own
-        run_rows = math.ceil(_NEGLIGIBLE / (_MAX_RUNS_BACK * min(m.decay for m in slow)))
+    rows, stretch = series.stretch_rows, STRETCH
+    slow = [m for m in means if rows * m.decay < _NEGLIGIBLE]
+    if slow:  # memory beyond one stretch: longer stretches, hence a pass and a sort of their own
         fast = [m for m in means if m not in slow]
         df = ewm_mean(df, fast, series) if fast else df
-        means = slow
-    if any(run_rows * m.decay > 600 for m in means):
-        raise ValueError("alpha too close to 1 for these runs: use a Series with smaller run_rows")
-    run = RUN if run_rows == series.run_rows else "_long_run"
-    if run != RUN:
-        df = df.withColumn(run, F.expr(f"_idx div {run_rows}L"))
+        means, rows, stretch = slow, math.ceil(_NEGLIGIBLE / min(m.decay for m in slow)), "_own_stretch"
+        df = df.withColumn(stretch, F.expr(f"_idx div {rows}L"))
+    if any(rows * m.decay > _MAX_EXPONENT for m in means):
+        raise ValueError("alpha too close to 1: use a Series with smaller run_rows")
 
     kept = df.columns
     so_far = series.window().rowsBetween(Window.unboundedPreceding, 0)
-    in_run = Window.partitionBy(series.key, BLOCK, run).orderBy(IDX).rowsBetween(
+    inside = Window.partitionBy(series.key, BLOCK, stretch).orderBy(RUN, IDX).rowsBetween(
         Window.unboundedPreceding, 0)
-    by_run = Window.partitionBy(series.key, BLOCK).orderBy(run)
-    place = F.expr(f"_idx % {run_rows}L")
+    before = Window.partitionBy(series.key, BLOCK).orderBy(stretch).rangeBetween(-1, -1)
+    place = F.expr(f"_idx % {rows}L")
 
     df = df.withColumns({f"_k_{c}": F.count(c).over(so_far) for c in {m.src: 0 for m in means}})
     df = df.withColumns({
         f"_local_{m.out}": F.sum(
             F.when((F.col(f"_k_{m.src}") == 1) | F.lit(m.adjust), 1.0).otherwise(m.alpha)
             * F.col(m.src) * F.exp(place * m.decay)
-        ).over(in_run)
+        ).over(inside)
         for m in means
     })
 
     def value(m: Ewm) -> Column:
-        total = F.col(f"_local_{m.out}")
-        closing = F.when(place == run_rows - 1, total)
-        for back in range(1, math.ceil(_NEGLIGIBLE / (run_rows * m.decay)) + 1):
-            ended = F.max(closing).over(by_run.rangeBetween(-back, -back))
-            total = total + F.coalesce(ended, F.lit(0.0)) * math.exp(-m.decay * run_rows * back)
+        local = F.col(f"_local_{m.out}")
+        ended = F.max(F.when(place == rows - 1, local)).over(before)
+        total = local + F.coalesce(ended, F.lit(0.0)) * math.exp(-m.decay * rows)
         y = total * F.exp(place * -m.decay)
         if m.adjust:
             y = y * m.alpha / (1.0 - F.exp(F.col(f"_k_{m.src}") * -m.decay))
         return F.when(F.col(m.src).isNotNull(), y).alias(m.out)
 
-    out = df.select(*kept, *[value(m) for m in means])
-    return out.drop("_long_run") if run != RUN else out
+    return df.select(*[c for c in kept if c != "_own_stretch"], *[value(m) for m in means])
 
 
 # -- latest rows and duplicates --------------------------------------------------------------------

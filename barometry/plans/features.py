@@ -10,7 +10,7 @@ from barometry.operators.macro import attach_macro, macro_features, pivot_macro
 from barometry.operators.normalise import feature_columns, numeric_columns
 from barometry.operators.options import join_options_metrics
 from barometry.operators.ordered import (
-    BLOCK, IDX, RUN, TICKER_TIME, Series, ewm_mean, over_blocks, rolling_zscores, row_index,
+    BLOCK, IDX, RUN, STRETCH, TICKER_TIME, Series, ewm_mean, over_blocks, rolling_zscores, row_index,
 )
 
 # Deepest indicator, then the z-score window on top of it.
@@ -80,7 +80,7 @@ def feature_pipeline(
             scores |= {f"{c}_z": c for c in scored}
         d = rolling_zscores(d, scores, ZSCORE_WINDOW, ZSCORE_CLIP, series)
         added = [c for c in scores if c.endswith("_z")]
-        return d.select(*names, *RAW_COLUMNS, *joined, *added, IDX, BLOCK, RUN)
+        return d.select(*names, *RAW_COLUMNS, *joined, *added, IDX, BLOCK, STRETCH, RUN)
 
     out = over_blocks(df, step, INDICATOR_REACH + ZSCORE_WINDOW, series).drop(IDX)
     return min_non_null_rows(out, feature_columns(out))

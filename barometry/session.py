@@ -13,6 +13,8 @@ def build_session(app: str = "barometry", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The feature plan compiles more classes than the default cache of 100 holds.
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
     )
     if master:
         builder = builder.master(master)

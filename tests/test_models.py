@@ -81,7 +81,7 @@ def test_sequences(spark, bars):
 
 
 def test_ensemble(spark):
-    df = spark.createDataFrame([([1.0, 0, 0, 0], [0.0, 0, 0, 1.0])], "hmm_prob array<double>, seq_prob array<double>")
+    df = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0])], "hmm_prob array<double>, seq_prob array<double>")
     r = ensemble_predict(df).first()
     assert r.ensemble_prob == [0.4, 0, 0, 0.6] and r.regime == 3
     assert r.confidence == 0.6 and r.regime_name == "high_vol"

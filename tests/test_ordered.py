@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barometry.operators import ordered
 from barometry.operators.ordered import Ewm, Series
 
-SMALL = Series(block_rows=50, run_rows=20)
+SMALL = Series(block_rows=50, run_rows=20, runs=2)
 
 
 @pytest.fixture(scope="module")
@@ -85,7 +85,7 @@ def test_rolling_zscores(data, column, n):
 @pytest.mark.parametrize("adjust", [False, True])
 def test_ewm(data, alpha, adjust):
     pdf, df = data
-    series = Series(block_rows=300, run_rows=20)
+    series = Series(block_rows=300, run_rows=20, runs=6)
     out = ordered.over_blocks(
         df, lambda d: ordered.ewm_mean(d, [Ewm("y", "x", alpha, adjust), Ewm("y2", "late", alpha, adjust)], series),
         ordered.ewm_reach(alpha), series)
