@@ -148,29 +148,27 @@ def rolling_zscores(
     if n != series.run_rows:
         run = ["_own_run"]
         df = df.withColumn("_own_run", F.expr(f"_idx div {n}L"))
-    up_to = (Window.unboundedPreceding, 0)
-    forwards = Window.partitionBy(series.key, BLOCK, *run).orderBy(IDX).rowsBetween(*up_to)
-    # Runs are numbered backwards too, so that one sort serves the last two windows.
-    from_end = Window.partitionBy(series.key, BLOCK, "_back").orderBy(F.col(IDX).desc())
-    reversed_block = Window.partitionBy(series.key, BLOCK).orderBy("_back", F.col(IDX).desc())
     sources = list(dict.fromkeys(columns.values()))
+    kept = [c for c in df.columns if c != "_own_run"]
+    # SQL text rather than Column calls: the same expressions, built much faster for many columns.
+    block = f"partition by {series.key}, {BLOCK}"
+    so_far = "rows between unbounded preceding and current row"
+    forwards = f"over ({block}, {', '.join(run)} order by {IDX} {so_far})"
+    # Runs are numbered backwards too, so that one sort serves the last two windows.
+    from_end = f"over ({block}, _back order by {IDX} desc {so_far})"
+    reversed_block = f"over ({block} order by _back, {IDX} desc)"
 
-    def moments(prefix: str, frame: WindowSpec) -> dict[str, Column]:
-        return {
-            f"{prefix}{kind}_{c}": measure(c).over(frame)
-            for c in sources
-            for kind, measure in (("n", F.count), ("m", F.avg), ("v", F.var_pop))
-        }
+    def moments(prefix: str, frame: str) -> list[str]:
+        return [f"{fn}({c}) {frame} as {prefix}{kind}_{c}"
+                for c in sources for kind, fn in (("n", "count"), ("m", "avg"), ("v", "var_pop"))]
 
-    kept = [c for c in df.columns if c != "_own_run"]
-    df = df.withColumns({**moments("_h", forwards), "_back": -F.col(run[-1])})
-    df = df.withColumns(moments("_t", from_end.rowsBetween(*up_to)))
-    tail = F.struct(*[F.col(f"_t{k}_{c}") for c in sources for k in "nmv"], *[F.col(c) for c in sources])
+    tail = ", ".join([f"_t{k}_{c}" for c in sources for k in "nmv"] + sources)
+    df = df.selectExpr("*", f"-{run[-1]} as _back", *moments("_h", forwards))
+    df = df.selectExpr("*", *moments("_t", from_end))
     # The run that just ended, seen from n - 1 rows before; none where one run is the frame.
-    whole = F.expr(f"_idx % {n}L = {n - 1}L")
-    df = df.withColumn("_tail", F.when(~whole, F.lead(tail, n - 1).over(reversed_block)))
+    df = df.selectExpr("*", f"if({IDX} % {n} = {n - 1}, null, "
+                            f"lead(struct({tail}), {n - 1}) {reversed_block}) as _tail")
 
-    # SQL text rather than Column calls: the same expressions, built much faster for many columns.
     # Conditions and values are named step by step, so that none is repeated when the plan is merged.
     parts = [sql for c in sources for sql in (
         f"_hn_{c} + coalesce(_tail._tn_{c}, 0L) = {n} as _full_{c}",
@@ -242,32 +240,27 @@ def ewm_mean(df: DataFrame, means: Sequence[Ewm], series: Series = TICKER_TIME)
     if any(rows * m.decay > _MAX_EXPONENT for m in means):
         raise ValueError("alpha too close to 1: use a Series with smaller run_rows")
 
-    kept = df.columns
-    so_far = series.window().rowsBetween(Window.unboundedPreceding, 0)
-    inside = Window.partitionBy(series.key, BLOCK, stretch).orderBy(RUN, IDX).rowsBetween(
-        Window.unboundedPreceding, 0)
-    before = Window.partitionBy(series.key, BLOCK).orderBy(stretch).rangeBetween(-1, -1)
-    place = F.expr(f"_idx % {rows}L")
-
-    df = df.withColumns({f"_k_{c}": F.count(c).over(so_far) for c in {m.src: 0 for m in means}})
-    df = df.withColumns({
-        f"_local_{m.out}": F.sum(
-            F.when((F.col(f"_k_{m.src}") == 1) | F.lit(m.adjust), 1.0).otherwise(m.alpha)
-            * F.col(m.src) * F.exp(place * m.decay)
-        ).over(inside)
-        for m in means
-    })
-
-    def value(m: Ewm) -> Column:
-        local = F.col(f"_local_{m.out}")
-        ended = F.max(F.when(place == rows - 1, local)).over(before)
-        total = local + F.coalesce(ended, F.lit(0.0)) * math.exp(-m.decay * rows)
-        y = total * F.exp(place * -m.decay)
-        if m.adjust:
-            y = y * m.alpha / (1.0 - F.exp(F.col(f"_k_{m.src}") * -m.decay))
-        return F.when(F.col(m.src).isNotNull(), y).alias(m.out)
-
-    return df.select(*[c for c in kept if c != "_own_stretch"], *[value(m) for m in means])
+    block = f"partition by {series.key}, {BLOCK}"
+    frame = "rows between unbounded preceding and current row"
+    so_far = f"over ({block} order by {STRETCH}, {RUN}, {IDX} {frame})"
+    inside = f"over ({block}, {stretch} order by {RUN}, {IDX} {frame})"
+    before = f"over ({block} order by {stretch} range between 1 preceding and 1 preceding)"
+    place = f"({IDX} % {rows})"
+
+    def weight(m: Ewm) -> str:
+        return "1D" if m.adjust else f"if(_k_{m.src} = 1, 1D, {m.alpha!r}D)"
+
+    def value(m: Ewm) -> str:
+        ended = f"max(if({place} = {rows - 1}, _local_{m.out}, null)) {before}"
+        total = f"(_local_{m.out} + coalesce({ended}, 0D) * exp({-m.decay * rows!r}D))"
+        norm = f" * {m.alpha!r}D / (1 - exp(_k_{m.src} * {-m.decay!r}D))" if m.adjust else ""
+        return f"if({m.src} is null, null, {total} * exp({place} * {-m.decay!r}D){norm}) as {m.out}"
+
+    kept = [c for c in df.columns if c != "_own_stretch"]
+    df = df.selectExpr("*", *[f"count({c}) {so_far} as _k_{c}" for c in {m.src: 0 for m in means}])
+    df = df.selectExpr("*", *[
+        f"sum({weight(m)} * {m.src} * exp({place} * {m.decay!r}D)) {inside} as _local_{m.out}" for m in means])
+    return df.selectExpr(*kept, *[value(m) for m in means])
 
 
 # -- latest rows and duplicates --------------------------------------------------------------------
