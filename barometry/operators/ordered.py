@@ -85,8 +85,9 @@ def row_index(df: DataFrame, series: Series = TICKER_TIME, fill: Sequence[str] =
         "_rn": F.row_number().over(inside) - 1,
         **{c: F.last(c, ignorenulls=True).over(so_far) for c in fill},
     })
+    # Every bucket has its head. A left join lets the planner broadcast the heads, never the rows.
     return (
-        local.join(heads, [key, BUCKET])
+        local.join(heads, [key, BUCKET], "left")
         .withColumns({
             IDX: F.col("_offset") + F.col("_rn"),
             **{c: F.coalesce(F.col(c), F.col(k)) for c, k in zip(fill, carried)},

@@ -12,6 +12,8 @@ def build_session(app: str = "barometry", master: str | None = None, **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Indicator windows cost far more per byte than scans: keep small shuffles spread over tasks.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # The feature plan compiles more classes than the default cache of 100 holds.
         .config("spark.sql.codegen.cache.maxEntries", "1000")
