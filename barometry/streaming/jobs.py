@@ -83,15 +83,19 @@ def upsert_partitions(
     batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], period: str = PERIOD
 ) -> None:
     """Merge a batch into a table partitioned by (ticker, period), rewriting touched partitions only."""
-    spark = batch.sparkSession
     fresh = batch.withColumn("period", period_of(period=period))
-    stored = read_if_written(spark, path)
+    stored = read_if_written(batch.sparkSession, path)
     if stored is not None:
         touched = fresh.select("ticker", "period").distinct()
         own = stored.select(*fresh.columns).join(touched, ["ticker", "period"], "left_semi")
         fresh = merge(own.select(*batch.columns), batch).withColumn("period", period_of(period=period))
+    replace_partitions(fresh, path)
+
+
+def replace_partitions(rows: DataFrame, path: str) -> None:
+    """Write rows with their ``period``, replacing the partitions they belong to."""
     (
-        fresh.repartitionByRange("ticker", "period", "time").sortWithinPartitions("ticker", "period", "time")
+        rows.repartitionByRange("ticker", "period", "time").sortWithinPartitions("ticker", "period", "time")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("ticker", "period").parquet(path))
 
@@ -151,7 +155,10 @@ def feature_batches(
                 features = features.join(first, "ticker").filter(
                     period_of() >= F.col("_first")).select(*features.columns)
             features = features.persist()
-            upsert_partitions(features, features_path, lambda old, new: upsert(old, new, ["ticker", "time"]))
+            if with_history:  # every period from the first touched one on is complete
+                replace_partitions(features.withColumn("period", period_of()), features_path)
+            else:
+                upsert_partitions(features, features_path, lambda old, new: upsert(old, new, ["ticker", "time"]))
             publish_latest_features(features).write.mode("overwrite").parquet(
                 f"{messages_path}/batch={batch_id}")
             features.unpersist()

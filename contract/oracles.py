@@ -521,7 +521,7 @@ ORACLES: dict[str, str] = {
         'mean-reverting' as dashed from customer""",
     "json": """select event_id, (props::json->>'k')::bigint as k, event_type as back from events""",
     "prob_vector": f"""with {PROBS}, {MIX} select vec_id, list_position(m, list_max(m))::bigint - 1 as best,
-        {r('list_max(m)', 'top')}, {r('m[3]', 'p0')}, {r('m[1]', 'p1')}, {r('m[4]', 'p2')}, {r('m[2]', 'p3')} from mix""",
+        {r('list_max(m)', 'largest')}, {r('m[3]', 'p0')}, {r('m[1]', 'p1')}, {r('m[4]', 'p2')}, {r('m[2]', 'p3')} from mix""",
     "softmax": f"""with {PROBS}, e as (select vec_id, list_transform(logits, lambda x: exp(x)) as e from probs)
         select vec_id, {", ".join(r(f"e[{i + 1}] / list_sum(e)", f"s{i}") for i in range(4))} from e""",
     "format_pct": f"with {SIGNALS} select ticker, time, printf('%.1f%%', confidence * 100) as text from signals",

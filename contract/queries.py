@@ -799,7 +799,7 @@ def prob_vector(spark, folder):
     p = p.withColumn("m", mixed)
     cols = [F.element_at(prob.permuted(F.col("m"), [2, 0, 3, 1]), i + 1).alias(f"p{i}") for i in range(4)]
     return rounded(p.select("vec_id", prob.argmax(F.col("m")).cast("long").alias("best"),
-                            F.array_max("m").alias("top"), *cols))
+                            F.array_max("m").alias("largest"), *cols))
 
 
 @query

@@ -27,7 +27,11 @@ def test_oracles_belong_to_queries():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+# Compared with a batch in test_streaming.py, on fewer bars.
+SLOW = {"stream_feature_batches"}
+
+
+@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
 def test_query(spark, duck, name):
     got, want = queries()[name](spark, SF).toPandas(), duck.execute(oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
