@@ -1,5 +1,6 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,13 @@ def build_session(app: str = "barometry", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a fresh temporary folder takes its place.
+    A session on one machine may leave the setting out and gets a temporary folder; on a cluster, where the
+    executors would not see it, a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{base.rstrip('/')}/barometry/{name}-{uuid.uuid4().hex}"
 
