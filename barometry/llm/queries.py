@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barometry.llm import bpe
+from barometry.llm import bpe, licenses, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,14 @@ def op7_bpe(spark, folder):
     decoded = bpe.decode(encoded.select("doc_id", "n_tokens", "ids"), RANKS)
     return decoded.select("doc_id", "n_tokens", hex_digest("ids").alias("ids_sha256"),
                           hex_digest("decoded").alias("decoded_sha256"))
+
+
+@query
+def op1_license_scan(spark, folder):
+    return licenses.license_scan(documents(spark, folder, "doc_id", "text"), drop=("text",))
+
+
+@query
+def op10_quality_rules(spark, folder):
+    judged = quality.quality(documents(spark, folder, "doc_id", "text"), drop=("text",))
+    return judged.withColumn("cleaned_sha256", hex_digest("cleaned")).drop("cleaned")
