@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barometry.llm import bpe, licenses, quality
+from barometry.llm import bpe, chat, licenses, lines, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,117 @@ def op1_license_scan(spark, folder):
 def op10_quality_rules(spark, folder):
     judged = quality.quality(documents(spark, folder, "doc_id", "text"), drop=("text",))
     return judged.withColumn("cleaned_sha256", hex_digest("cleaned")).drop("cleaned")
+
+
+@query
+def op3_line_dedup(spark, folder):
+    cleaned = lines.line_dedup(documents(spark, folder, "doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "removed", hex_digest("text").alias("text_sha256"))
+
+
+ORACLES["op3_line_dedup"] = r"""
+with l as (
+    select doc_id, string_split(text, chr(10)) as ls from documents
+), w as (
+    select doc_id, unnest(range(len(ls) - 2)) as pos, ls from l where len(ls) >= 3
+), v as (
+    select doc_id, pos, ls[pos + 1] as a, ls[pos + 2] as b, ls[pos + 3] as c from w
+), r as (
+    select doc_id, pos, row_number() over (partition by a, b, c order by doc_id, pos) as nth
+    from v where not (a = '' and b = '' and c = '')
+), g as (
+    select distinct doc_id, unnest([pos, pos + 1, pos + 2]) as line from r where nth > 1
+), s as (
+    select doc_id, line, line - row_number() over (partition by doc_id order by line) as island from g
+), p as (
+    select doc_id, min(line) as first_line, max(line) as last_line, count(*) as n from s group by doc_id, island
+), q as (
+    select doc_id, sum(n)::bigint as n_removed,
+           string_agg(first_line || '-' || last_line, ',' order by first_line) as removed
+    from p group by doc_id
+), k as (
+    select e.doc_id, string_agg(e.line, chr(10) order by e.at) as kept
+    from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as at from l) e
+    left join g on g.doc_id = e.doc_id and g.line = e.at where g.doc_id is null group by e.doc_id
+)
+select l.doc_id, len(l.ls) as n_lines, coalesce(q.n_removed, 0) as n_removed, coalesce(q.removed, '') as removed,
+       sha256(coalesce(k.kept, '')) as text_sha256
+from l left join q using (doc_id) left join k using (doc_id)
+"""
+
+
+@query
+def op5_chat_format(spark, folder):
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(probe).alias("text"))
+    rows = turns.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
+    made = chat.format_chats(rows).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn(
+        "loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    return made.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        hex_digest(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+                   ).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), hex_digest("loss").alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"), "attachment_tokens")
+
+
+ORACLES["op5_chat_format"] = r"""
+with t as (
+    select conv_id, turn, role, text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+    union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+           length(regexp_replace(coalesce(role, ''), '([<\[])(\\*)(/?(s>|INST\])|\|)', '\1\\\2\3', 'g')) as role_chars,
+           length(regexp_replace(coalesce(text, ''), '([<\[])(\\*)(/?(s>|INST\])|\|)', '\1\\\2\3', 'g')) as body_chars
+    from t
+), s as (
+    select conv_id, count(*) as n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+           coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
+           sum(3 + role_chars + 7 + body_chars + 12)::bigint as formatted_chars
+    from e group by conv_id
+)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
+       formatted_chars, 0::bigint as n_attachments, 0::bigint as attachment_tokens
+from s
+"""
+
+# Every source is to have the same share, however large it is.
+MIX_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
+MIX_REST = 1.0
+
+
+@query
+def op6_mix_sources(spark, folder):
+    mixed = mixing.mix(documents(spark, folder), MIX_WEIGHTS, MIX_REST)
+    return mixed.select("doc_id", "copy", "source", "shuffle_key", "text")
+
+
+ORACLES["op6_mix_sources"] = r"""
+with d as (
+    select *, case when source in ({sources}) then source end as g from documents
+), have as (
+    select g, sum(length(text)) as n from d group by g having sum(length(text)) > 0
+), rate as (
+    select g, (select sum(n) from have) * 1.0::double / (select count(*) from have) / n as r from have
+), terms as (
+    select g, k, exp(-r + sum(case when k = 0 then 0 else ln(r / k) end) over (partition by g order by k)) as p
+    from rate, (select unnest(range(400)) as k)
+), cdf as (
+    select g, list(c order by k) as cs
+    from (select g, k, sum(p) over (partition by g order by k) as c from terms) group by g
+), u as (
+    select d.*, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::bigint / 4503599627370496.0::double as u from d
+), n as (
+    select u.*, len(list_filter(cs, lambda c: c <= u)) as n from u join cdf on u.g is not distinct from cdf.g
+), e as (
+    select doc_id, source, text, unnest(range(1, n + 1)) as copy from n
+)
+select doc_id, copy, source, ('0x' || substr(md5('mix:order:' || doc_id || ':' || copy), 1, 15))::bigint as shuffle_key, text
+from e
+""".replace("{sources}", ", ".join(f"'{s}'" for s in MIX_WEIGHTS))
