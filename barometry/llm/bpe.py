@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from barometry.llm.common import add_columns, as_bytes
 
 #: Characters that are cut into pre-tokens at once.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Bytes of text whose pre-tokens share one rank queue.
-GATHER_BYTES = 8 << 20
+GATHER_BYTES = 4 << 20
 #: A longer pre-token has a queue of its own.
 LONG_BYTES = 256
 
