@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barometry.llm import bpe, chat, licenses, lines, mixing, quality
+from barometry.llm import bpe, chat, fingerprints, licenses, lines, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,29 @@ with d as (
 select doc_id, copy, source, ('0x' || substr(md5('mix:order:' || doc_id || ':' || copy), 1, 15))::bigint as shuffle_key, text
 from e
 """.replace("{sources}", ", ".join(f"'{s}'" for s in MIX_WEIGHTS))
+
+
+@query
+def op4_fingerprints(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    paired = fingerprints.with_next(docs, {"next_text": "text", "next_sketch": "sketch"}, fingerprints.with_sketch)
+    n = F.length("text")
+    changed = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - changed), F.substring(F.col("next_text"), F.lit(1), changed))
+    both = fingerprints.with_sketch(paired.withColumn("edited", edited), "edited", "edited_sketch")
+    own, other, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return both.select(
+        "doc_id", n.cast("long").alias("n_chars"), hex_digest("edited").alias("edited_sha256"),
+        fingerprints.fingerprint(own).alias("fingerprint"), fingerprints.fingerprint(other).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, other).alias("near_edited"), fingerprints.resemblance(own, following).alias("near_next"),
+        fingerprints.containment(own, other).alias("contained_edited"),
+        fingerprints.distinct_shingles(own).alias("n_shingles"))
+
+
+@query
+def op2_secret_scan(spark, folder):
+    found = secrets.secret_scan(documents(spark, folder, "doc_id", "text"))
+    base = F.col("base_spans")
+    return found.select(
+        "doc_id", *[secrets.count_kind(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        hex_digest(secrets.span_text(base)).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
