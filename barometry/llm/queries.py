@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barometry.llm import bpe, chat, fingerprints, licenses, lines, mixing, quality, secrets
+from barometry.llm import bpe, chat, fingerprints, jaccard, licenses, lines, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,35 @@ def op2_secret_scan(spark, folder):
     return found.select(
         "doc_id", *[secrets.count_kind(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         hex_digest(secrets.span_text(base)).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op8_jaccard_join(spark, folder):
+    return jaccard.jaccard_join(documents(spark, folder, "doc_id", "text"))
+
+
+ORACLES["op8_jaccard_join"] = r"""
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+    from documents
+), s as (
+    select distinct doc_id, unnest(case when len(ws) >= 3
+        then [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g
+    from w
+), n as (
+    select doc_id, count(*) as n from s group by doc_id
+), pairs as (
+    select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), links as (
+    select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)
+), edges as (
+    select a, b from links union all select b, a from links
+), reach(doc_id, other) as (
+    select a, b from edges
+    union select reach.doc_id, edges.b from reach join edges on reach.other = edges.a
+)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(min(other), w.doc_id)) as component_id
+from w left join n using (doc_id) left join reach using (doc_id) group by w.doc_id, n.n
+"""
