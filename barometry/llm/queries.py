@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barometry.llm import bpe, chat, fingerprints, jaccard, licenses, lines, mixing, quality, secrets
+from barometry.llm import bpe, chat, fingerprints, jaccard, language, licenses, lines, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,11 @@ with recursive w as (
 select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(min(other), w.doc_id)) as component_id
 from w left join n using (doc_id) left join reach using (doc_id) group by w.doc_id, n.n
 """
+
+
+@query
+def op9_language_id(spark, folder):
+    found = language.language_id(documents(spark, folder, "doc_id", "text", "lang", "source"), declared="lang", host="source",
+                                 keep_text=False)
+    return found.select("doc_id", F.col("lang").alias("declared"), "text_language", "language",
+                        F.round("confidence", 6).alias("confidence"), F.col("language_kept").alias("kept"))
