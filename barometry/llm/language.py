@@ -9,10 +9,10 @@
   towards those of the corpus.
 
 Counts for the last three are grouped aggregates over all rows; hosts are joined, never gathered. A document
-is kept if its text has a trigram, its best language has posterior ``MIN_POSTERIOR`` or more, and the text is
-likelier under that language than under evenly spread trigrams.
+is kept if its text is not blank, its best language has posterior ``MIN_POSTERIOR`` or more, and its trigrams
+have a mean log-likelihood of ``LEAST_LOGLIK`` or more under that language.
 
-Null and empty texts have no text evidence and are not kept. Null declarations, hosts and addresses are no
+Null and blank texts are not kept; texts of one or two bytes have no text evidence. Null declarations, hosts and addresses are no
 evidence. Equal rows get equal results.
 """
 
