@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from barometry.functions.scalar import clip
-
 IDX, BLOCK, STRETCH, RUN, BUCKET = "_idx", "_block", "_stretch", "_run", "_bucket"
 
 
@@ -55,8 +53,13 @@ class Series:
 
 
 TICKER_TIME = Series()
+# Many rows a day per ticker (signals, ticks): hours are numbered apart, so a busy ticker is split by itself.
+INTRADAY = Series(bucket="hour")
 # One series only (the wide macro table); still cut into buckets and blocks.
 SINGLE = Series(key="_all", bucket="year")
+SINGLE_INTRADAY = Series(key="_all", bucket="day")
+# Rows without a place in their series are spread over so many buckets.
+LOOSE = 1024
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -64,17 +67,21 @@ Step = Callable[[DataFrame], DataFrame]
 def row_index(df: DataFrame, series: Series = TICKER_TIME, fill: Sequence[str] = ()) -> DataFrame:
     """Add ``_idx``, the 0-based position within the series, and forward-fill the ``fill`` columns.
 
-    Key and order columns must not be null and (key, order) must be unique.
+    (key, order) must be unique. A row with a null key or order has no place in a series: it is kept with a
+    null ``_idx``, is not filled and counts for no other row.
     """
     key, order = series.key, series.order
-    bucketed = df.withColumn(BUCKET, F.date_trunc(series.bucket, F.col(order)).cast("timestamp"))
+    placed = F.col(key).isNotNull() & F.col(order).isNotNull()
+    loose = F.timestamp_seconds(-(1 << 40) - F.pmod(F.xxhash64(*df.columns), F.lit(LOOSE)))
+    bucket = F.date_trunc(series.bucket, F.col(order)).cast("timestamp")
+    bucketed = df.withColumn(BUCKET, F.when(placed, bucket).otherwise(loose))
     carried = [f"_carry_{c}" for c in fill]
     last_known = [
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(k)
+        F.max_by(c, F.when(F.col(c).isNotNull() & placed, F.col(order))).alias(k)
         for c, k in zip(fill, carried)
     ]
     before = Window.partitionBy(key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    heads = bucketed.groupBy(key, BUCKET).agg(F.count(F.lit(1)).alias("_n"), *last_known).select(
+    heads = bucketed.where(placed).groupBy(key, BUCKET).agg(F.count(F.lit(1)).alias("_n"), *last_known).select(
         key, BUCKET,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         *[F.last(k, ignorenulls=True).over(before).alias(k) for k in carried],
@@ -83,9 +90,9 @@ def row_index(df: DataFrame, series: Series = TICKER_TIME, fill: Sequence[str] =
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = bucketed.withColumns({
         "_rn": F.row_number().over(inside) - 1,
-        **{c: F.last(c, ignorenulls=True).over(so_far) for c in fill},
+        **{c: F.when(placed, F.last(c, ignorenulls=True).over(so_far)).otherwise(F.col(c)) for c in fill},
     })
-    # Every bucket has its head. A left join lets the planner broadcast the heads, never the rows.
+    # Buckets of placed rows have their head. A left join lets the planner broadcast the heads, never the rows.
     return (
         local.join(heads, [key, BUCKET], "left")
         .withColumns({
@@ -103,21 +110,27 @@ def forward_fill(df: DataFrame, columns: Sequence[str], series: Series = TICKER_
 def over_blocks(df: DataFrame, step: Step, halo: int, series: Series = TICKER_TIME) -> DataFrame:
     """Run ``step`` (any chain of windows reaching back at most ``halo`` rows) block by block.
 
-    Inside another ``over_blocks`` the rows are already laid out, and the step runs as it is.
+    Inside another ``over_blocks`` the rows are already laid out, and the step runs as it is. Rows without a
+    place in their series (null key or order) are kept; what ``step`` adds is null there.
     """
     if BLOCK in df.columns:
         return step(df)
     numbered = df if IDX in df.columns else row_index(df, series)
-    home = F.expr(f"_idx div {series.block_rows}L")
+    # Rows without a place lie in blocks below 0, away from all others.
+    loose = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(LOOSE))
+    home = F.coalesce(F.expr(f"_idx div {series.block_rows}L"), loose)
     block = home
     if halo:
-        block = F.explode(F.sequence(home, F.expr(f"(_idx + {halo}L) div {series.block_rows}L")))
+        block = F.explode(F.sequence(home, F.coalesce(F.expr(f"(_idx + {halo}L) div {series.block_rows}L"), loose)))
     laid = numbered.select(
         "*", F.expr(f"_idx div {series.stretch_rows}L").alias(STRETCH),
         F.expr(f"_idx div {series.run_rows}L").alias(RUN), block.alias(BLOCK))
     out = step(laid)
     if halo:
-        out = out.filter(F.col(BLOCK) == home)
+        of_block = F.expr(f"_idx div {series.block_rows}L")
+        out = out.filter((F.col(BLOCK) < 0) | (F.col(BLOCK) == of_block))
+    added = [c for c in out.columns if c not in laid.columns]
+    out = out.withColumns({c: F.when(F.col(BLOCK) >= 0, F.col(c)) for c in added}) if added else out
     return out.drop(BLOCK, STRETCH, RUN, *([] if IDX in df.columns else [IDX]))
 
 
@@ -196,8 +209,8 @@ def rolling_zscores(
 
 # -- exponentially weighted means ----------------------------------------------------------------
 
-# Weights below exp(-69) = 1e-30 of the newest are dropped: 14 digits beyond double precision.
-_NEGLIGIBLE = 69.0
+# Weights below exp(-NEGLIGIBLE) = 1e-30 of the newest are dropped: 14 digits beyond double precision.
+NEGLIGIBLE = 69.0
 _MAX_EXPONENT = 600.0  # exp(600) leaves room for any price before overflow
 
 
@@ -206,7 +219,8 @@ class Ewm:
     """An exponentially weighted mean of ``src`` as ``out``.
 
     ``adjust=False`` is the recursion y = (1-alpha)*y_prev + alpha*x started at the first value;
-    ``adjust=True`` divides the weighted sum by the sum of the weights.
+    ``adjust=True`` divides the weighted sum by the sum of the weights. Null values have no result, but time
+    goes on: what came before weighs (1-alpha) less for each of them, and the weights are scaled to 1 again.
     """
 
     out: str
@@ -221,49 +235,87 @@ class Ewm:
 
 def ewm_reach(alpha: float) -> int:
     """Rows after which a weight ``(1 - alpha)**k`` is negligible."""
-    return math.ceil(_NEGLIGIBLE / -math.log1p(-alpha)) + 1
+    return math.ceil(NEGLIGIBLE / -math.log1p(-alpha)) + 1
 
 
 def ewm_mean(df: DataFrame, means: Sequence[Ewm], series: Series = TICKER_TIME) -> DataFrame:
     """Add exponentially weighted means to a laid-out frame, all in one pass where runs allow.
 
     Spark windows cannot recurse. Within a stretch of rows the recursion is a running sum of
-    ``x / (1-alpha)**p``, p being the place in the stretch; the end of the stretch before, decayed, is
-    added to it. Inputs may have leading nulls only.
+    ``w * x / (1-alpha)**p``, p being the place in the stretch; the end of the stretch before, decayed, is
+    added to it. A memory much longer or shorter than the stretch gets stretches of its own, with a sort.
+
+    With inner nulls the recursive form keeps its scale by the same sums: its weight is alpha for a value
+    after a value, and after g nulls the old mean weighs (1-alpha)**(g+1) against alpha. That is the ratio of
+    a running sum of x to a running sum of ones in which each value that ends a gap weighs more.
     """
     rows, stretch = series.stretch_rows, STRETCH
-    slow = [m for m in means if rows * m.decay < _NEGLIGIBLE]
-    if slow:  # memory beyond one stretch: longer stretches, hence a pass and a sort of their own
-        fast = [m for m in means if m not in slow]
-        df = ewm_mean(df, fast, series) if fast else df
-        means, rows, stretch = slow, math.ceil(_NEGLIGIBLE / min(m.decay for m in slow)), "_own_stretch"
+    fits = [m for m in means if NEGLIGIBLE <= rows * m.decay <= _MAX_EXPONENT]
+    others = [m for m in means if m not in fits]
+    if others and (fits or len({_own_rows(m) for m in others}) > 1):
+        for part in [fits, *[[m for m in others if _own_rows(m) == n] for n in dict.fromkeys(map(_own_rows, others))]]:
+            df = ewm_mean(df, part, series) if part else df
+        return df
+    if others:
+        rows, stretch = _own_rows(others[0]), "_own_stretch"
         df = df.withColumn(stretch, F.expr(f"_idx div {rows}L"))
-    if any(rows * m.decay > _MAX_EXPONENT for m in means):
-        raise ValueError("alpha too close to 1: use a Series with smaller run_rows")
 
     block = f"partition by {series.key}, {BLOCK}"
+    ordered = f"order by {STRETCH}, {RUN}, {IDX}"
     frame = "rows between unbounded preceding and current row"
-    so_far = f"over ({block} order by {STRETCH}, {RUN}, {IDX} {frame})"
+    so_far = f"over ({block} {ordered} {frame})"
+    earlier = f"over ({block} {ordered} rows between unbounded preceding and 1 preceding)"
     inside = f"over ({block}, {stretch} order by {RUN}, {IDX} {frame})"
     before = f"over ({block} order by {stretch} range between 1 preceding and 1 preceding)"
     place = f"({IDX} % {rows})"
+    sources = list({m.src: 0 for m in means})
+
+    # Extra decay that the recursive form owes to gaps: after g nulls the old mean's share of the new one is
+    # (1-a)^(g+1) / ((1-a)^(g+1) + a) instead of (1-a)^(g+1). _gap counts the nulls just passed; a first value has none.
+    def scale(m: Ewm) -> str:
+        return (f"if({m.src} is null or _gap_{m.src} = 0, 0D, ln(exp(-(_gap_{m.src} + 1) * {m.decay!r}D) + {m.alpha!r}D))")
 
     def weight(m: Ewm) -> str:
         return "1D" if m.adjust else f"if(_k_{m.src} = 1, 1D, {m.alpha!r}D)"
 
-    def value(m: Ewm) -> str:
-        ended = f"max(if({place} = {rows - 1}, _local_{m.out}, null)) {before}"
-        total = f"(_local_{m.out} + coalesce({ended}, 0D) * exp({-m.decay * rows!r}D))"
-        norm = f" * {m.alpha!r}D / (1 - exp(_k_{m.src} * {-m.decay!r}D))" if m.adjust else ""
-        return f"if({m.src} is null, null, {total} * exp({place} * {-m.decay!r}D){norm}) as {m.out}"
-
     kept = [c for c in df.columns if c != "_own_stretch"]
-    df = df.selectExpr("*", *[f"count({c}) {so_far} as _k_{c}" for c in {m.src: 0 for m in means}])
+    df = df.selectExpr("*", *[f"count({c}) {so_far} as _k_{c}" for c in sources],
+                       *[f"max(if({c} is not null, {IDX}, null)) {earlier} as _at_{c}" for c in sources])
+    df = df.selectExpr("*", *[f"coalesce({IDX} - _at_{c} - 1, 0L) as _gap_{c}" for c in sources])
+    plain = [m for m in means if not m.adjust]
+    # The scales are summed over the stretch, like all else.
+    df = df.selectExpr("*", *[f"sum({scale(m)}) {inside} as _log_{m.out}" for m in plain])
+
+    def grown(m: Ewm) -> str:
+        return f"exp({place} * {m.decay!r}D" + ("" if m.adjust else f" + _log_{m.out}") + ")"
+
+    def shrunk(m: Ewm) -> str:
+        return f"exp(-{place} * {m.decay!r}D" + ("" if m.adjust else f" - _log_{m.out}") + ")"
+
+    # A value that ends a gap is itself scaled by the share left to it, which its own _log already holds.
     df = df.selectExpr("*", *[
-        f"sum({weight(m)} * {m.src} * exp({place} * {m.decay!r}D)) {inside} as _local_{m.out}" for m in means])
+        f"sum({weight(m)} * {m.src} * {grown(m)} / "
+        f"{'1D' if m.adjust else f'exp({scale(m)})'}) {inside} as _local_{m.out}" for m in means],
+        *[f"sum(if({m.src} is null, 0D, {grown(m)})) {inside} as _ones_{m.out}" for m in means if m.adjust])
+
+    def carried(m: Ewm, name: str) -> str:
+        """The sum at the end of the stretch before, in terms of this stretch."""
+        end = f"{name}_{m.out}" if m.adjust else f"{name}_{m.out} * exp(-_log_{m.out})"
+        ended = f"max(if({place} = {rows - 1}, {end}, null)) {before}"
+        return f"({name}_{m.out} + coalesce({ended}, 0D) * exp({-m.decay * rows!r}D))"
+
+    def value(m: Ewm) -> str:
+        norm = f" / ({carried(m, '_ones')} * {shrunk(m)})" if m.adjust else ""
+        return f"if({m.src} is null, null, {carried(m, '_local')} * {shrunk(m)}{norm}) as {m.out}"
+
     return df.selectExpr(*kept, *[value(m) for m in means])
 
 
+def _own_rows(m: Ewm) -> int:
+    """Rows of a stretch that holds about all of a mean's memory."""
+    return math.ceil(NEGLIGIBLE / m.decay)
+
+
 # -- latest rows and duplicates --------------------------------------------------------------------
 
 def latest_n(df: DataFrame, n: int, key: str = "ticker", order: str = "time") -> DataFrame:

@@ -94,6 +94,32 @@ def test_ewm(data, alpha, adjust):
             lambda g: g.ewm(alpha=alpha, adjust=adjust).mean()), out, name, 1e-10)
 
 
+@pytest.mark.parametrize("alpha", [0.1, 0.5, 0.9, 0.99])
+@pytest.mark.parametrize("adjust", [False, True])
+def test_ewm_with_inner_nulls_and_any_alpha(data, alpha, adjust):
+    """Time goes on over a null: pandas' rule without ignore_na. A null has no result of its own."""
+    pdf, df = data
+    for series in (ordered.TICKER_TIME, Series(block_rows=200, run_rows=20, runs=3)):
+        out = ordered.over_blocks(
+            df, lambda d: ordered.ewm_mean(d, [Ewm("y", "holes", alpha, adjust)], series), ordered.ewm_reach(alpha), series)
+        compare(pdf, pdf.groupby("ticker")["holes"].transform(
+            lambda g: g.ewm(alpha=alpha, adjust=adjust).mean().where(g.notna())), out, "y", 1e-10)
+
+
+def test_rows_without_key_or_time_are_kept(spark):
+    rows = [("A", i, float(i)) for i in range(1, 91)] + [("A", None, -1.0)] * 3 + [(None, 5, -2.0), (None, None, -3.0)]
+    df = spark.createDataFrame(rows, "ticker string, day int, close double").selectExpr(
+        "ticker", "timestamp_seconds(day * 86400) as time", "close")
+    for series in (ordered.TICKER_TIME, Series(block_rows=7), ordered.INTRADAY):
+        out = ordered.diff(df, {"move": "close"}, 1, series).toPandas()
+        assert len(out) == len(rows)
+        placed = out[out.ticker.notna() & out.time.notna()].sort_values("time")
+        assert placed.move.iloc[1:].eq(1.0).all() and np.isnan(placed.move.iloc[0])
+        assert out[out.ticker.isna() | out.time.isna()].move.isna().all()
+        filled = ordered.forward_fill(df.withColumn("v", F.expr("if(close > 10, null, close)")), ["v"], series).toPandas()
+        assert len(filled) == len(rows) and filled[filled.close > 10].v.eq(10.0).all()
+
+
 def test_blocks_do_not_change_results(data):
     _, df = data
     whole = ordered.diff(df, {"d": "x"}, 3)
