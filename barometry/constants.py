@@ -1,12 +1,5 @@
 """Fixed values. These must equal the published settings, or results differ."""
 
-# Tickers and macro series that are ingested.
-UNIVERSE = [
-    "SPY", "QQQ", "IWM", "GLD", "TLT", "HYG", "XLE", "XLF", "XLK",
-    "AAPL", "MSFT", "NVDA", "TSLA", "AMZN", "GOOGL",
-]
-MACRO_SERIES = ["VIXCLS", "DGS10", "DGS2", "DFF", "BAMLH0A0HYM2", "T10Y2Y"]
-
 # Macro series id -> column name, and the macro columns joined to bars.
 MACRO_NAMES = {
     "VIXCLS": "vix",

@@ -14,10 +14,6 @@ def clip(c: Column, low: float | None = None, high: float | None = None) -> Colu
     return F.when(c.isNotNull(), bounded)
 
 
-def zscore(x: Column, mean: Column, std: Column, limit: float) -> Column:
-    return clip((x - mean) / clip(std, low=1e-8), -limit, limit)
-
-
 def normalise_ticker(c: Column) -> Column:
     return F.upper(F.trim(c))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barometry.constants import DURATION_BUCKETS, REGIME_NAMES, TRAIN_SPLIT
-from barometry.operators.ordered import IDX, SINGLE, latest_n, row_index
+from barometry.operators.ordered import IDX, SINGLE_INTRADAY, latest_n, row_index
 
 
 def daily_aggregates() -> list[Column]:
@@ -54,17 +54,17 @@ def regime_counts(latest: DataFrame) -> DataFrame:
 
 def time_split(df: DataFrame, share: float = TRAIN_SPLIT) -> DataFrame:
     """The time at position ``int(share * n)`` of the sorted distinct times, as one row."""
-    times = df.select("time").distinct()
-    ranked = row_index(times.withColumn(SINGLE.key, F.lit(0)), SINGLE)
+    times = df.select("time").where("time is not null").distinct()
+    ranked = row_index(times.withColumn(SINGLE_INTRADAY.key, F.lit(0)), SINGLE_INTRADAY)
     wanted = times.agg(F.floor(F.count(F.lit(1)) * share).cast("long").alias(IDX))
     return ranked.join(wanted, IDX).select(F.col("time").alias("split_time"))
 
 
-def counter_rate_per_min(events: DataFrame, label: str, time: str = "ts") -> DataFrame:
+def counter_rate_per_min(events: DataFrame, label: str, value: str, time: str = "ts") -> DataFrame:
     """Records and summed value per minute and label."""
     kind = events.schema[time].dataType
     minute = F.window(time, "1 minute")["start"].cast(kind).alias("minute")
-    return events.groupBy(minute, label).agg(F.count(F.lit(1)).alias("n"))
+    return events.groupBy(minute, label).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
 def duration_p95(

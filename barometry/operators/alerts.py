@@ -4,24 +4,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barometry.constants import LOW_CONFIDENCE, VOL_SPIKE_LEVEL
-from barometry.operators.ordered import IDX, TICKER_TIME, Series, over_blocks, row_index
+from barometry.operators.ordered import IDX, INTRADAY, TICKER_TIME, Series, over_blocks, row_index
 
 
 def regime_transitions(
-    signals: DataFrame, last_known: DataFrame | None = None, series: Series = TICKER_TIME
+    signals: DataFrame, last_known: DataFrame | None = None, series: Series = INTRADAY
 ) -> DataFrame:
     """Add ``prev_regime`` and ``changed``. The first signal of a ticker is no change.
 
+    Signals of a ticker at one time are ordered by regime, then by their other columns as text, so a replay
+    orders them alike. A signal without a ticker or time has no previous one.
+
     ``last_known`` (ticker, regime) holds the state from before these signals.
     """
     def step(d: DataFrame) -> DataFrame:
         return d.withColumn("prev_regime", F.lag("regime", 1).over(series.window()))
 
+    numbered = row_index(signals, series, ties=("regime", F.to_json(F.struct(*signals.columns))))
     if last_known is None:
-        out = over_blocks(signals, step, 1, series)
+        out = over_blocks(numbered, step, 1, series).drop(IDX)
     else:
         before = last_known.select("ticker", F.col("regime").alias("_before"))
-        out = over_blocks(row_index(signals, series), step, 1, series).join(before, "ticker", "left")
+        out = over_blocks(numbered, step, 1, series).join(before, "ticker", "left")
         out = out.withColumn(
             "prev_regime", F.coalesce("prev_regime", F.when(F.col(IDX) == 0, F.col("_before"))))
         out = out.drop("_before", IDX)

@@ -5,29 +5,22 @@ from pyspark.sql import functions as F
 
 from barometry.constants import MACRO_JOINED, MACRO_NAMES, MACRO_TERM_LAG, ZSCORE_CLIP, ZSCORE_WINDOW
 from barometry.operators.ordered import (
-    IDX, SINGLE, TICKER_TIME, Series, forward_fill, latest_n, over_blocks, rolling_zscores, row_index,
+    IDX, SINGLE, TICKER_TIME, Series, latest_n, over_blocks, rolling_zscores, row_index,
 )
 
-# A wide macro frame has one row per date, so a century has fewer than 40,000.
-MAX_BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows; else leave the join to the planner."""
-    counted = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if counted <= max_rows else df
-
-
 def recode_series(df: DataFrame) -> DataFrame:
     """Keep the five used series and replace their ids by column names (``name``)."""
     names = F.create_map(*[F.lit(x) for pair in MACRO_NAMES.items() for x in pair])
     return df.filter(F.col("series_id").isin(list(MACRO_NAMES))).withColumn("name", names[F.col("series_id")])
 
 
-def pivot_macro(df: DataFrame, order: str = "seq") -> DataFrame:
-    """One row per time, one column per series (null where absent); last value in ``order`` wins."""
-    return recode_series(df).groupBy("time").pivot("name", list(MACRO_NAMES.values())).agg(
-        F.max_by("value", order))
+def pivot_macro(df: DataFrame, order: str | None = "seq") -> DataFrame:
+    """One row per time, one column per series (null where absent).
+
+    Of several values the last in ``order`` wins; of values that are equal there, and without an order, the largest.
+    """
+    last = F.struct(*([order] if order else []), "value")
+    return recode_series(df).groupBy("time").pivot("name", list(MACRO_NAMES.values())).agg(F.max_by("value", last))
 
 
 def macro_features(wide: DataFrame, series: Series = SINGLE) -> DataFrame:
@@ -57,7 +50,7 @@ def by_date(macro: DataFrame) -> DataFrame:
 def attach_macro(bars: DataFrame, macro: DataFrame, series: Series = TICKER_TIME) -> DataFrame:
     """Bars left-joined to macro by date, macro forward-filled per ticker; keeps ``_idx``."""
     joined = bars.withColumn("_date", F.to_date("time")).join(
-        broadcast_if_small(by_date(macro)), "_date", "left").drop("_date")
+        by_date(macro), "_date", "left").drop("_date")
     return row_index(joined, series, fill=MACRO_JOINED)
 
 
@@ -80,7 +73,7 @@ def join_macro_asof(bars: DataFrame, macro: DataFrame) -> DataFrame:
     end = F.coalesce(F.date_sub("_next", 1), F.greatest(F.col("_date"), last_bar))
     daily = spine.join(following, IDX, "left").select(
         F.explode(F.sequence("_date", end)).alias("_date"), *MACRO_JOINED)
-    return dated.join(broadcast_if_small(daily), "_date", "left").drop("_date")
+    return dated.join(daily, "_date", "left").drop("_date")
 
 
 def macro_term_slope(macro: DataFrame, n: int = 20) -> DataFrame:
@@ -90,7 +83,3 @@ def macro_term_slope(macro: DataFrame, n: int = 20) -> DataFrame:
     count = F.count(F.lit(1))
     return recent.groupBy("series_id").agg(
         F.when(count >= 2, F.round(change / count, 4)).alias("slope"))
-
-
-def fill_macro(df: DataFrame, columns: list[str], series: Series = TICKER_TIME) -> DataFrame:
-    return forward_fill(df, columns, series)

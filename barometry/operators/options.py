@@ -82,17 +82,22 @@ def gex_proxy(chain: DataFrame) -> DataFrame:
 
 
 def options_metrics(chain: DataFrame, tie_break: Sequence[str]) -> DataFrame:
-    """All three metrics, one row per ticker."""
-    return (
-        put_call_ratio(chain)
-        .join(gex_proxy(chain), "ticker")
-        .join(iv_skew_proxy(chain, tie_break), "ticker", "left")
-        .select("ticker", "iv_skew_proxy", "put_call_ratio", "gex_proxy"))
+    """All three metrics, one row per ticker.
+
+    Ratio and exposure come from one aggregate. The strike ends are ranked apart, since the limit on their rank
+    reaches below the shuffle and keeps a busy ticker out of a single task.
+    """
+    exposure = F.col("gamma") * F.col("open_interest") * 100
+    puts, calls = (F.coalesce(_side(s, F.col("open_interest")), F.lit(0)) for s in ("put", "call"))
+    short, long = (F.coalesce(_side(s, exposure), F.lit(0.0)) for s in ("put", "call"))
+    sums = chain.groupBy("ticker").agg(
+        F.when(calls > 0, F.round(F.try_divide(puts.cast("double"), calls.cast("double")), 4)).alias("put_call_ratio"),
+        F.round(long - short, 2).alias("gex_proxy"))
+    return sums.join(iv_skew_proxy(chain, tie_break), "ticker", "left").select(
+        "ticker", "iv_skew_proxy", "put_call_ratio", "gex_proxy")
 
 
 def join_options_metrics(bars: DataFrame, metrics: DataFrame) -> DataFrame:
     """The same three values on every bar of a ticker."""
-    from barometry.operators.macro import broadcast_if_small
-
     keyed = metrics.select(F.upper("ticker").alias("ticker"), "iv_skew_proxy", "put_call_ratio", "gex_proxy")
-    return bars.join(broadcast_if_small(keyed), "ticker", "left")
+    return bars.join(keyed, "ticker", "left")

@@ -64,10 +64,12 @@ LOOSE = 1024
 Step = Callable[[DataFrame], DataFrame]
 
 
-def row_index(df: DataFrame, series: Series = TICKER_TIME, fill: Sequence[str] = ()) -> DataFrame:
+def row_index(
+    df: DataFrame, series: Series = TICKER_TIME, fill: Sequence[str] = (), ties: Sequence[str | Column] = (),
+) -> DataFrame:
     """Add ``_idx``, the 0-based position within the series, and forward-fill the ``fill`` columns.
 
-    (key, order) must be unique. A row with a null key or order has no place in a series: it is kept with a
+    (key, order) must be unique, or ``ties`` order what is equal there. A row with a null key or order has no place in a series: it is kept with a
     null ``_idx``, is not filled and counts for no other row.
     """
     key, order = series.key, series.order
@@ -86,7 +88,7 @@ def row_index(df: DataFrame, series: Series = TICKER_TIME, fill: Sequence[str] =
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         *[F.last(k, ignorenulls=True).over(before).alias(k) for k in carried],
     )
-    inside = Window.partitionBy(key, BUCKET).orderBy(order)
+    inside = Window.partitionBy(key, BUCKET).orderBy(order, *ties)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = bucketed.withColumns({
         "_rn": F.row_number().over(inside) - 1,

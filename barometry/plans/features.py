@@ -54,11 +54,12 @@ def feature_pipeline(
     macro: DataFrame | None = None,
     options_metrics: DataFrame | None = None,
     normalise: bool = True,
-    macro_order: str = "time",
+    macro_order: str | None = None,
     series: Series = TICKER_TIME,
 ) -> DataFrame:
     """Bars to features. ``macro`` is long (time, series_id, value); options hold one row per ticker.
 
+    ``macro_order`` names the column that says which of several macro values of one time came last.
     Macro and options columns are joined before the series is laid out, so that indicators and
     z-scores share a single shuffle; columns still come out in the usual order.
     """

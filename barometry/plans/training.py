@@ -85,7 +85,8 @@ def infer_all(history: DataFrame, models: Models, lookback: int = LOOKBACK) -> D
     The hidden Markov model sees the latest bar alone, the classifier the last ``lookback`` bars.
     """
     needed = list(dict.fromkeys([*models.hmm.features, *models.features]))
-    last = latest_n(history.dropna(subset=needed), lookback)
+    # The newest rows as they are: a ticker whose newest rows are incomplete gets no signal, not one for an older bar.
+    last = latest_n(history, lookback).dropna(subset=needed)
     windows = sliding_sequences(last, models.features, lookback, include_current=True)
     now = windows.select("ticker", "time", "seq", *models.hmm.features)
     single = hmm_decode(now.select("ticker", "time", *models.hmm.features), models.hmm)

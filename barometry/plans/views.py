@@ -154,14 +154,21 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def probabilities(spark: SparkSession, folder: str) -> DataFrame:
-    """Two probability vectors per row from the first eight embedding entries."""
+    """Two probability vectors and four logits per row, folded from all entries of its embedding.
+
+    Entry i (from 0) adds to place i modulo 4: entries with an even i div 4 to the first vector, with an odd one
+    to the second, and all to the logits.
+    """
     return _sql(spark, folder, """
+        with entries as (
+            select vec_id, transform(embedding, x -> cast(x as double)) as e from {embeddings}
+        ), sums as (
+            select vec_id,
+                   transform(sequence(0, 3), p -> aggregate(filter(e, (x, i) -> i % 8 = p), 0D, (a, x) -> a + abs(x)) + 1e-6D) as h,
+                   transform(sequence(0, 3), p -> aggregate(filter(e, (x, i) -> i % 8 = p + 4), 0D, (a, x) -> a + abs(x)) + 1e-6D) as s,
+                   transform(sequence(0, 3), p -> aggregate(filter(e, (x, i) -> i % 4 = p), 0D, (a, x) -> a + x)) as logits
+            from entries)
         select vec_id,
-               transform(slice(embedding, 1, 4), x -> (abs(cast(x as double)) + 1e-6D)
-                   / aggregate(slice(embedding, 1, 4), 0D, (a, y) -> a + abs(cast(y as double)) + 1e-6D))
-                   as hmm_prob,
-               transform(slice(embedding, 5, 4), x -> (abs(cast(x as double)) + 1e-6D)
-                   / aggregate(slice(embedding, 5, 4), 0D, (a, y) -> a + abs(cast(y as double)) + 1e-6D))
-                   as seq_prob,
-               transform(slice(embedding, 1, 4), x -> cast(x as double)) as logits
-        from {embeddings}""", "embeddings")
+               transform(h, x -> x / aggregate(h, 0D, (a, y) -> a + y)) as hmm_prob,
+               transform(s, x -> x / aggregate(s, 0D, (a, y) -> a + y)) as seq_prob, logits
+        from sums""", "embeddings")

@@ -12,14 +12,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 BARS = _struct(time=_TS, ticker=_S, open=_D, high=_D, low=_D, close=_D,
                volume=_L, vwap=_D, source=_S, interval=_S)
 MACRO = _struct(time=_TS, series_id=_S, value=_D, source=_S)
-OPTIONS_CHAIN = _struct(time=_TS, ticker=_S, expiry=_TS, strike=_D, option_type=_S, last_price=_D,
-                        implied_volatility=_D, open_interest=_L, volume=_L, delta=_D, gamma=_D, source=_S)
 OPTIONS_METRICS = _struct(ticker=_S, iv_skew_proxy=_D, put_call_ratio=_D, gex_proxy=_D)
-SIGNALS = _struct(time=_TS, ticker=_S, regime=T.IntegerType(), regime_name=_S, confidence=_D,
-                  hmm_prob=T.ArrayType(_D), seq_prob=T.ArrayType(_D), ensemble_prob=T.ArrayType(_D),
-                  model_version=_S)
-ALERTS = _struct(id=_S, time=_TS, ticker=_S, alert_type=_S, severity=T.IntegerType(),
-                 payload=_S, read=T.BooleanType())
 
 # A downloaded price file, before it is made canonical.
 LANDED_PRICES = _struct(Date=_TS, ticker=_S, Open=_D, High=_D, Low=_D, Close=_D, Volume=_D)

@@ -21,6 +21,9 @@ def build_session(app: str = "barometry", master: str | None = None, **conf: str
     )
     if master:
         builder = builder.master(master)
+    else:
+        # On a cluster: many shuffle partitions to begin with. Adaptive execution merges small ones at run time.
+        builder = builder.config("spark.sql.shuffle.partitions", "4000")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barometry import schemas
-from barometry.operators.ordered import IDX, TICKER_TIME, Series, latest_n, row_index
+from barometry.operators.ordered import IDX, LOOSE, TICKER_TIME, Series, latest_n, row_index
 
 # Topic -> record schema. Names are defaults; jobs take their own mapping.
 TOPICS = {
@@ -29,7 +29,9 @@ def publish_envelope(
     size. The batch id is a hash of key, type and batch number, which makes a replay repeat it.
     """
     names = df.columns
-    batched = row_index(df, series).withColumn("_batch", F.expr(f"_idx div {max_records}L"))
+    # Rows without a place in their series go by a hash.
+    loose = -1 - F.pmod(F.xxhash64(*names), F.lit(LOOSE))
+    batched = row_index(df, series).withColumn("_batch", F.coalesce(F.expr(f"_idx div {max_records}L"), loose))
     packed = batched.groupBy(series.key, "_batch").agg(
         F.array_sort(F.collect_list(F.struct(IDX, F.struct(*names).alias("r")))).alias("_rows"),
         F.count(F.lit(1)).alias("record_count"))
@@ -53,11 +55,29 @@ def publish_signal(signals: DataFrame) -> DataFrame:
         F.struct(*signals.columns), JSON_TIMES).alias("value"))
 
 
-def explode_envelope(messages: DataFrame, topic: str, records: T.StructType, value: str = "value") -> DataFrame:
-    """Messages of one topic to typed rows. Works on batches and on streams."""
+def explode_envelope(
+    messages: DataFrame, topic: str, records: T.StructType, value: str = "value", arrival: bool = False,
+) -> DataFrame:
+    """Messages of one topic to typed rows. Works on batches and on streams.
+
+    With ``arrival``, ``ingested_at`` and ``position`` (the place in its message) tell in which order rows came.
+    Messages without records are those of ``dead_letters``.
+    """
     parsed = F.from_json(F.col(value).cast("string"), schemas.envelope(records))
     rows = messages.filter(F.col("topic") == topic).select(parsed.alias("m"))
-    return rows.select(F.explode("m.records").alias("r")).select("r.*")
+    placed = rows.select("m.ingested_at", F.posexplode("m.records").alias("position", "r"))
+    return placed.select("r.*", *(["ingested_at", "position"] if arrival else []))
+
+
+def dead_letters(messages: DataFrame, topics: dict[str, T.StructType] = TOPICS, value: str = "value") -> DataFrame:
+    """Messages that yield no row, with the ``reason``: unknown topic, unreadable, or no records."""
+    text = F.col(value).cast("string")
+    # Only the outer form is looked at: records of any topic read as texts.
+    parsed = F.from_json(text, "records array<string>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    reason = F.when(~F.coalesce(F.col("topic").isin(*topics), F.lit(False)), "unknown topic").when(
+        text.isNull() | parsed["_bad"].isNotNull(), "unreadable").when(
+        F.coalesce(F.size(parsed["records"]), F.lit(0)) < 1, "no records")
+    return messages.withColumn("reason", reason).where("reason is not null")
 
 
 def route(messages: DataFrame, topics: dict[str, T.StructType] = TOPICS) -> dict[str, DataFrame]:

@@ -13,12 +13,15 @@ from barometry.operators.ordered import dedupe_keep_last
 _PRICES = ["Open", "High", "Low", "Close"]
 
 
-def read_landed(spark, path: str, kind: str = "csv") -> DataFrame:
-    """Landed price files with a fixed schema. Malformed rows are dropped, other files go on."""
-    reader = spark.read.schema(schemas.LANDED_PRICES).option("mode", "DROPMALFORMED")
+def read_landed(spark, path: str, kind: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """Landed price files with a fixed schema: readable rows, and unreadable ones as text with their file."""
+    reader = spark.read.schema(schemas.LANDED_PRICES.add("_corrupt", "string")).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_corrupt")
     if kind == "csv":
         reader = reader.option("header", True)
-    return reader.format(kind).load(path)
+    rows = reader.format(kind).load(path)
+    bad = rows.where("_corrupt is not null").select("_corrupt", F.col("_metadata.file_path").alias("file"))
+    return rows.where("_corrupt is null").drop("_corrupt"), bad
 
 
 def scan_bars(landed: DataFrame, order: Sequence[str], ticker: str = "ticker") -> DataFrame:

@@ -12,16 +12,18 @@ from barometry.sources.landing import time_range
 class FeatureStore:
     """Parquet below one path, partitioned by ticker and sorted by time within files."""
 
-    def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 2_000_000):
-        self.spark, self.path, self.rows_per_file = spark, path, rows_per_file
+    def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 2_000_000, salts: int = 16):
+        self.spark, self.path, self.rows_per_file, self.salts = spark, path, rows_per_file, salts
 
     def write(self, df: DataFrame, partition_by: Sequence[str] = ("ticker",)) -> None:
         """Replace the partitions present in ``df``; others stay. An empty frame changes nothing.
 
-        Rows are spread by range over (partition, time), so one large ticker is written by many tasks.
+        Rows are spread by partition and a salt from their time, so one large ticker is written by many tasks and
+        the input is computed once; ranges would be sampled first.
         """
+        salt = F.pmod(F.xxhash64("time"), F.lit(self.salts))
         (
-            df.repartitionByRange(*partition_by, "time")
+            df.repartition(*partition_by, salt)
             .sortWithinPartitions(*partition_by, "time")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .option("maxRecordsPerFile", self.rows_per_file)

@@ -19,7 +19,9 @@ from barometry.operators.ordered import dedupe_keep_last, latest_n
 from barometry.operators.reads import stitch_history
 from barometry.plans.features import INDICATOR_REACH, feature_pipeline
 from barometry.plans.training import Models, infer_all
-from barometry.sources.envelopes import publish_latest_features, publish_signal
+from barometry.sources.envelopes import (
+    TOPICS, dead_letters, explode_envelope, publish_latest_features, publish_signal,
+)
 from barometry.sources.store import upsert, upsert_bars
 
 # Consumers that rebuild tables start from the first message, the others from the newest.
@@ -64,46 +66,77 @@ def read_if_written(spark: SparkSession, path: str, schema: T.StructType | None
         raise
 
 
-def batch_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows written below ``path/batch=<id>`` by the jobs here."""
-    found = read_if_written(spark, f"{path}/*")
-    return spark.createDataFrame([], schema) if found is None else found
-
-
 # -- keyed tables, partitioned by ticker and period ---------------------------------------------------
 
 PERIOD = "year"  # partitions of daily bars; use "month" or "day" for bars of minutes or seconds
+#: Up to so many touched partitions become literal filters; a batch that touches more joins them instead.
+MAX_TOUCHED = 2_000
 
 
 def period_of(column: str = "time", period: str = PERIOD) -> Column:
     return F.to_date(F.date_trunc(period, F.col(column)))
 
 
+def only_touched(stored: DataFrame, fresh: DataFrame, key: str = "ticker") -> DataFrame:
+    """The rows of ``stored`` in partitions (key, period) that ``fresh`` has rows for, the others unread."""
+    touched = fresh.select(key, "period").distinct()
+    pairs = touched.limit(MAX_TOUCHED + 1).collect()
+    if len(pairs) > MAX_TOUCHED:
+        return stored.join(touched, [key, "period"], "left_semi")
+    periods: dict[str, list] = {}
+    for name, period in pairs:
+        periods.setdefault(name, []).append(period)
+    wanted = F.lit(False)
+    for name, own in periods.items():
+        wanted = wanted | ((F.col(key) == F.lit(name)) & F.col("period").isin(own))
+    return stored.where(wanted)
+
+
 def upsert_partitions(
-    batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], period: str = PERIOD
+    batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], period: str = PERIOD,
+    key: str = "ticker",
 ) -> None:
-    """Merge a batch into a table partitioned by (ticker, period), rewriting touched partitions only."""
+    """Merge a batch into a table partitioned by (key, period), reading and rewriting touched partitions only."""
     fresh = batch.withColumn("period", period_of(period=period))
     stored = read_if_written(batch.sparkSession, path)
     if stored is not None:
-        touched = fresh.select("ticker", "period").distinct()
-        own = stored.select(*fresh.columns).join(touched, ["ticker", "period"], "left_semi")
+        own = only_touched(stored.select(*fresh.columns), fresh, key)
         fresh = merge(own.select(*batch.columns), batch).withColumn("period", period_of(period=period))
-    replace_partitions(fresh, path)
+    replace_partitions(fresh, path, key)
+
 
+def replace_partitions(rows: DataFrame, path: str, key: str = "ticker") -> None:
+    """Write rows with their ``period``, replacing the partitions they belong to.
 
-def replace_partitions(rows: DataFrame, path: str) -> None:
-    """Write rows with their ``period``, replacing the partitions they belong to."""
+    Rows go to tasks by key, period and a salt from their time: unlike ranges, that needs no sampling, which
+    would compute them twice, and a large partition is still written by several tasks.
+    """
+    salt = F.pmod(F.xxhash64("time"), F.lit(8))
     (
-        rows.repartitionByRange("ticker", "period", "time").sortWithinPartitions("ticker", "period", "time")
+        rows.repartition(key, "period", salt).sortWithinPartitions(key, "period", "time")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ticker", "period").parquet(path))
+        .partitionBy(key, "period").parquet(path))
+
 
+def late_data_upsert(batch: DataFrame, path: str, arrival: Sequence[str] = ()) -> DataFrame:
+    """Late and repeated bars replace the row of the same key, however late they come; returns the rows that stay.
 
-def late_data_upsert(batch: DataFrame, path: str) -> None:
-    """Late and repeated bars replace the row of the same key, however late they come."""
-    unique = dedupe_keep_last(batch, ["ticker", "time"], ["close", "open", "high", "low", "volume"])
+    Of several rows of a key in one batch the last in ``arrival`` (columns that are not stored) wins; rows that
+    are equal there are ordered by their values.
+    """
+    unique = dedupe_keep_last(batch, ["ticker", "time"], [*arrival, "close", "open", "high", "low", "volume"]).drop(*arrival)
     upsert_partitions(unique, path, upsert_bars)
+    return unique
+
+
+def upsert_macro_rows(batch: DataFrame, path: str, order: str, period: str = PERIOD) -> None:
+    """Macro rows by (series, time), the last in ``order`` kept; only touched series and periods are rewritten."""
+    keys = ["series_id", "time"]
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return dedupe_keep_last(old.unionByName(new), keys, [order])
+
+    upsert_partitions(dedupe_keep_last(batch, keys, [order]), path, merge, period, "series_id")
 
 
 def distinct_within(stream: DataFrame, delay: str, keys: Sequence[str], time: str = "time") -> DataFrame:
@@ -111,27 +144,84 @@ def distinct_within(stream: DataFrame, delay: str, keys: Sequence[str], time: st
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The state version that a batch starts from: none for the first, else it must be there."""
+    return spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
+
+
 def upsert_latest(batch: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: str) -> DataFrame:
-    """Latest row per key after this batch, kept as one version per batch; returns that version."""
+    """Latest row per key after this batch, kept as one version per batch; returns that version.
+
+    For state of one row per key. A retried batch needs the version before its own, so two versions stay.
+    """
     spark = batch.sparkSession
     newest = dedupe_keep_last(batch, keys, [order])
-    before = read_if_written(spark, f"{path}/version={batch_id - 1}", newest.schema) if batch_id else None
-    merged = newest if before is None else dedupe_keep_last(before.unionByName(newest), keys, [order])
+    before = state_before(spark, path, batch_id)
+    merged = newest if before is None else dedupe_keep_last(before.select(*newest.columns).unionByName(newest), keys, [order])
     target = f"{path}/version={batch_id}"
     merged.write.mode("overwrite").parquet(target)
+    if batch_id >= 2:
+        _delete(spark, f"{path}/version={batch_id - 2}")
     return spark.read.schema(newest.schema).parquet(target)
 
 
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a state table."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def apply_retention_to_table(spark: SparkSession, path: str, as_of: str, years: int, key: str = "ticker") -> int:
+    """Remove the partitions (key, period) of a stored table that lie wholly before the retention period.
+
+    Returns how many. Only periods are looked at: the one that the limit falls into stays whole.
+    """
+    rows = spark.read.parquet(path)
+    oldest = F.to_date(F.date_trunc(PERIOD, F.lit(as_of).cast("timestamp_ntz") - F.make_interval(years=F.lit(years))))
+    aged = rows.select(key, "period").distinct().where(F.col("period") < oldest).collect()  # one row per partition
+    for name, period in aged:
+        _delete(spark, f"{path}/{key}={name}/period={period}")
+    return len(aged)
+
+
 # -- jobs ----------------------------------------------------------------------------------------------
 
+def with_lookback(stored: DataFrame, first: DataFrame, reach: int) -> DataFrame:
+    """The partitions of ``stored`` from the one on that holds the ``reach``-th row before each ticker's first period.
+
+    Rows are counted by partition, one number each; the bounds become literal filters, so older files stay unread.
+    """
+    begins = {r["ticker"]: r["_first"] for r in first.limit(MAX_TOUCHED + 1).collect()}
+    if len(begins) > MAX_TOUCHED:
+        return stored.join(first.select("ticker"), "ticker", "left_semi")
+    own = stored.where(F.col("ticker").isin(list(begins)))
+    counts = own.groupBy("ticker", "period").count().collect()  # one row per partition of these tickers
+    wanted = F.lit(False)
+    for name, begin in begins.items():
+        start, seen = begin, 0
+        for period, n in sorted(((r["period"], r["count"]) for r in counts if r["ticker"] == name and r["period"] < begin), reverse=True):
+            start, seen = period, seen + n
+            if seen >= reach:
+                break
+        wanted = wanted | ((F.col("ticker") == F.lit(name)) & (F.col("period") >= F.lit(start)))
+    return own.where(wanted)
+
+
 def feature_batches(
     macro: Callable[[], DataFrame | None], options: Callable[[], DataFrame | None],
-    bars_path: str, features_path: str, messages_path: str, with_history: bool = True,
+    bars_path: str, features_path: str, messages_path: str, with_history: bool = True, arrival: Sequence[str] = (),
 ) -> Callable[[DataFrame, int], None]:
     """Handler: bars of a batch to stored features and one message with the newest row per ticker.
 
     Indicators need history, so the last stored bars of the batch's tickers are put in front of it;
     ``with_history=False`` works on the batch alone. ``macro`` and ``options`` are read per batch.
+    ``arrival`` names the columns that order repeated bars.
     """
     reach = INDICATOR_REACH + ZSCORE_WINDOW
 
@@ -141,15 +231,14 @@ def feature_batches(
         try:
             if bars.isEmpty():
                 return
-            late_data_upsert(bars, bars_path)
-            rows = bars
+            rows = late_data_upsert(bars, bars_path, arrival)
             if with_history:
                 # Late bars change all that follows, hence all rows from the first touched period on.
-                first = bars.groupBy("ticker").agg(F.min(period_of()).alias("_first"))
-                stored = spark.read.parquet(bars_path).join(first, "ticker")
+                first = rows.groupBy("ticker").agg(F.min(period_of()).alias("_first"))
+                stored = with_lookback(spark.read.parquet(bars_path), first, reach).join(first, "ticker")
                 after = stored.filter(F.col("period") >= F.col("_first"))
                 before = latest_n(stored.filter(F.col("period") < F.col("_first")), reach)
-                rows = before.unionByName(after).select(*batch.columns)
+                rows = before.unionByName(after).select(*rows.columns)
             features = feature_pipeline(rows, macro(), options())
             if with_history:
                 features = features.join(first, "ticker").filter(
@@ -168,6 +257,40 @@ def feature_batches(
     return handle
 
 
+def feature_job(
+    bars_path: str, macro_path: str, options_path: str, features_path: str, messages_path: str,
+) -> Callable[[DataFrame, int], None]:
+    """Handler: messages of the three topics to features, with macro rows and options metrics kept as state.
+
+    ``messages`` have topic and value. Records of a batch are applied in the order of their arrival: macro rows by
+    (series, time), options metrics by ticker, then bars with features over both. Messages that yield no row are
+    written below ``messages_path/dead``.
+    """
+    arrival = ("ingested_at", "position")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        messages = batch.persist()
+        try:
+            dead_letters(messages).write.mode("overwrite").parquet(f"{messages_path}/dead/batch={batch_id}")
+            rows = {t: explode_envelope(messages, t, schema, arrival=True).withColumn(
+                "arrived", F.struct(*arrival)).drop(*arrival) for t, schema in TOPICS.items()}
+            bars = rows["ohlcv"].withColumn("time", F.col("time").cast("timestamp_ntz"))
+            macro = rows["macro"].withColumn("time", F.col("time").cast("timestamp_ntz"))
+            if not macro.isEmpty():
+                upsert_macro_rows(macro, macro_path, "arrived")
+            options = upsert_latest(rows["options"], options_path, batch_id, ["ticker"], "arrived")
+            known = read_if_written(spark, macro_path)
+            feature_batches(
+                lambda: None if known is None else known.select("time", "series_id", "value"),
+                lambda: options.drop("arrived"), bars_path, features_path, messages_path + "/features",
+                arrival=("arrived",))(bars.drop("interval"), batch_id)
+        finally:
+            messages.unpersist()
+
+    return handle
+
+
 def inference_batches(
     models: Models, features_path: str, signals_path: str, messages_path: str, lookback: int = LOOKBACK
 ) -> Callable[[DataFrame, int], None]:
@@ -177,7 +300,9 @@ def inference_batches(
         if stored is None:
             history = batch
         else:
-            own = stored.join(batch.select("ticker").distinct(), "ticker", "left_semi")
+            first = batch.groupBy("ticker").agg(F.min(period_of()).alias("_first"))
+            own = with_lookback(stored, first, lookback) if "period" in stored.columns else stored.join(
+                first.select("ticker"), "ticker", "left_semi")
             history = stitch_history(own.select(*batch.columns), batch, lookback)
         signals = infer_all(history, models, lookback).withColumn("model_version", F.lit("latest"))
         signals = signals.persist()
@@ -194,7 +319,7 @@ def alert_batches(state_path: str, transitions_path: str, alerts_path: str) -> C
         spark = batch.sparkSession
         signals = batch.persist()
         try:
-            known = read_if_written(spark, f"{state_path}/version={batch_id - 1}") if batch_id else None
+            known = state_before(spark, state_path, batch_id)
             moves = regime_transitions(signals, known)
             moves.write.mode("overwrite").parquet(f"{transitions_path}/batch={batch_id}")
             alert_rules(spark.read.parquet(f"{transitions_path}/batch={batch_id}")).write.mode(

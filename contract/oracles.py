@@ -108,9 +108,11 @@ TICKS = """ticks as (
 PROBS = """probs as (
     select vec_id, list_transform(h, lambda x: x / list_sum(h)) as hmm_prob,
            list_transform(s, lambda x: x / list_sum(s)) as seq_prob, logits
-    from (select vec_id, list_transform(embedding[1:4], lambda x: abs(x::double) + 1e-6) as h,
-                 list_transform(embedding[5:8], lambda x: abs(x::double) + 1e-6) as s,
-                 list_transform(embedding[1:4], lambda x: x::double) as logits from embeddings))"""
+    from (select vec_id,
+              [list_sum([abs(e[i + 1]) for i in range(len(e)) if i % 8 = p]) + 1e-6 for p in range(4)] as h,
+              [list_sum([abs(e[i + 1]) for i in range(len(e)) if i % 8 = p + 4]) + 1e-6 for p in range(4)] as s,
+              [list_sum([e[i + 1] for i in range(len(e)) if i % 4 = p]) for p in range(4)] as logits
+          from (select vec_id, embedding::double[] as e from embeddings)))"""
 MIX = """mix as (
     select vec_id, hmm_prob, seq_prob, [0.4 * hmm_prob[i] + 0.6 * seq_prob[i] for i in range(1, 5)] as m from probs)"""
 
@@ -306,6 +308,33 @@ ORACLES: dict[str, str] = {
         select time, ticker, array_to_string(list_filter([
             {", ".join(f"case when not ({ok}) then '{name}' end" for name, ok in TICKER_RULES)}
             ], lambda x: x is not null), ',') as failed from dirty""",
+    "landing_quarantine": f"""with {BARS}, {STORED}, {MACRO}, {MACRO_TABLE}, {CHAIN}, b as (
+            select ticker, case when volume % 3 = 0 then -open else open end as open,
+                   case when volume % 5 = 0 then low / 2 else high end as high, low, close, volume - 20 as volume,
+                   case when volume % 11 = 0 then 'other' else source end as source from stored),
+        m as (select series_id as ticker, case when value < 0 then null else value end as value,
+                     case when value > 20 then 'other' else source end as source from macro_table),
+        o as (select upper(trim(ticker)) as ticker, case when open_interest % 3 = 0 then -strike else strike end as strike,
+                     case when volume % 7 = 0 then 'straddle' else option_type end as option_type,
+                     implied_volatility - 0.02 as iv, open_interest, volume from chain),
+        f as (
+            select 'bars' as kind, ticker, concat_ws(',', case when not coalesce(open > 0, false) then 'open_positive' end,
+                case when not coalesce(high > 0, false) then 'high_positive' end,
+                case when not coalesce(low > 0, false) then 'low_positive' end,
+                case when not coalesce(close > 0, false) then 'close_positive' end,
+                case when not coalesce(volume >= 0, false) then 'volume_not_negative' end,
+                case when not coalesce(high >= low, false) then 'high_not_below_low' end,
+                case when source not in ('yfinance', 'polygon') then 'known_source' end) as failed from b
+            union all
+            select 'macro', ticker, concat_ws(',', case when value is null then 'value_present' end,
+                case when source not in ('fred', 'yfinance') then 'known_source' end) from m
+            union all
+            select 'options', ticker, concat_ws(',', case when not coalesce(strike > 0, false) then 'strike_positive' end,
+                case when option_type not in ('call', 'put') then 'known_side' end,
+                case when iv < 0 then 'implied_volatility_not_negative' end,
+                case when open_interest < 0 then 'open_interest_not_negative' end,
+                case when volume < 0 then 'volume_not_negative' end) from o)
+        select kind, ticker, failed, count(*) as n from f where failed <> '' group by 1, 2, 3""",
     "explode_envelope": """
         select ts as time, 'U' || (user_id % 15) as ticker, value as open, value + 1 as close, event_id as volume
         from events where event_type in ('click', 'view')
@@ -332,7 +361,9 @@ ORACLES: dict[str, str] = {
                coalesce(n.source, m.source) as source
         from macro_table m full join new n on m.time = n.time and m.series_id = n.series_id""",
     "append_signals": f"with {SIGNALS} select distinct ticker, 'latest' as model_version, 2::bigint as n from signals",
-    "append_alerts": None,
+    "append_alerts": f"with {SIGNALS}, {MOVES}, {ALERTS} "
+                     f"select id, time, ticker, alert_type, severity, read, {r('confidence')}, "
+                     "from_regime::double as from_regime, to_regime_name from alerts",
     "feature_store_write": over_bars(
         f"ticker, time, {r('case when ticker = chr(65) then 1.0 else close end', 'close')}, volume"),
     "publish_envelope": f"""with {BARS}, n as (
@@ -418,7 +449,8 @@ ORACLES: dict[str, str] = {
     "time_split": """with t as (select distinct l_shipdate as time from lineitem),
         n as (select time, row_number() over (order by time) - 1 as i, count(*) over () as n from t)
         select time as split_time from n where i = floor(n * 0.8::double)""",
-    "counter_rate_per_min": """select date_trunc('minute', ts)::timestamp as minute, event_type, count(*) as n
+    "counter_rate_per_min": """select date_trunc('minute', ts)::timestamp as minute, event_type, count(*) as n,
+        round(sum(value), 6) as total
         from events group by 1, 2""",
     "duration_p95": f"""with c as (
             select time_bucket(interval 5 minute, ts) as start, event_type, count(*) as n,
@@ -435,13 +467,25 @@ ORACLES: dict[str, str] = {
     # E
     "rolling_mean": over_bars(f"ticker, time, {r(full('avg', 'close', 21), 'mean_21')}") + f" {windows(21)}",
     "rolling_std": over_bars(f"ticker, time, {r(full('stddev_samp', 'close', 21), 'std_21')}") + f" {windows(21)}",
+    # In e, y is the mean so far and old its weight: (1 - alpha) for each row since, against alpha for a new value.
     "ewm_mean": f"""with recursive {BARS}, n as (
-            select *, row_number() over (partition by ticker order by time) as i from bars),
-        e as (select ticker, time, i, close as num, 1.0::double as den, close as y from n where i = 1
+            select *, case when volume % 4 = 0 then null else close end as gappy,
+                   row_number() over (partition by ticker order by time) as i from bars),
+        e as (select ticker, time, i, close as num, 1.0::double as den, close as y, close as h, close as s, close as l,
+                     gappy, gappy as g, 1.0::double as old, coalesce(gappy, 0) as gnum, (gappy is not null)::int::double as gden
+              from n where i = 1
               union all
-              select n.ticker, n.time, n.i, e.num * 13 / 15 + n.close, e.den * 13 / 15 + 1, e.y * 13 / 15 + n.close * 2 / 15
+              select n.ticker, n.time, n.i, e.num * 13 / 15 + n.close, e.den * 13 / 15 + 1, e.y * 13 / 15 + n.close * 2 / 15,
+                     e.h * 0.5 + n.close * 0.5, e.s * 0.1 + n.close * 0.9, e.l * 0.99 + n.close * 0.01, n.gappy,
+                     case when n.gappy is null then e.g when e.g is null then n.gappy
+                          else (e.old * 13 / 15 * e.g + n.gappy * 2 / 15) / (e.old * 13 / 15 + 2.0 / 15) end,
+                     case when n.gappy is null then e.old * 13 / 15 else 1 end,
+                     e.gnum * 13 / 15 + coalesce(n.gappy, 0), e.gden * 13 / 15 + (n.gappy is not null)::int
               from e join n on n.ticker = e.ticker and n.i = e.i + 1)
-        select ticker, time, {r('num / den', 'ewm_adjusted', 4)}, {r('y', 'ewm_recursive', 4)} from e""",
+        select ticker, time, {r('num / den', 'ewm_adjusted', 4)}, {r('y', 'ewm_recursive', 4)}, {r('h', 'ewm_half', 4)},
+               {r('s', 'ewm_short', 4)}, {r('l', 'ewm_long', 4)},
+               {r('case when gappy is not null then g end', 'ewm_gaps', 4)},
+               {r('case when gappy is not null then gnum / gden end', 'ewm_gaps_adjusted', 4)} from e""",
     "diff": over_bars(f"ticker, time, {r('close - lag(close) over (partition by ticker order by time)', 'move')}"),
     "shift": over_bars(f"ticker, time, {r('lag(close, 21) over (partition by ticker order by time)', 'close_before')}"),
     "forward_fill": over_bars("ticker, time, " + r(
@@ -546,7 +590,15 @@ ORACLES: dict[str, str] = {
     # Macro rows of the stream's table are unique, so the last value of a date is the only one.
     "stream_feature_batches": FEATURES.replace("max_by(value, seq)", "max(value)")
                               + " select ticker, time, " + rs("close", "rsi_14", "vix", "close_z") + " from feats",
-    "late_data_upsert": UPSERTED_BARS,
+    # The last to arrive wins, a correction over what it corrects, but the first source stays.
+    "late_data_upsert": f"""with {BARS}, {STORED}, {INCOMING}, fixed as (
+            select * replace (case when day(time) % 4 = 0 then close / 4 else close end as close) from incoming)
+        select coalesce(i.time, s.time) as time, coalesce(i.ticker, s.ticker) as ticker,
+               coalesce(i.open, s.open) as open, coalesce(i.high, s.high) as high, coalesce(i.low, s.low) as low,
+               coalesce(i.close, s.close) as close, coalesce(i.volume, s.volume) as volume,
+               case when i.time is null then s.vwap else i.vwap end as vwap, coalesce(s.source, i.source) as source
+        from stored s full join (select * from fixed qualify row_number() over (partition by ticker, time order by source) = 1) i
+          on i.ticker = s.ticker and i.time = s.time""",
     "snapshot_plus_updates": f"with {SIGNALS}, {LATEST} select ticker, time, regime, {r('confidence')} from latest",
     "tumbling_bars": f"with {TICKS} {daily()}",
     "signal_ttl": f"""with {SIGNALS}, {LATEST} select ticker, time, regime from latest
@@ -570,5 +622,3 @@ ORACLES: dict[str, str] = {
                {r('round(list_max(m), 4)', 'confidence')}, {", ".join(r(f"round(m[{i + 1}], 4)", f"p{i}") for i in range(4))}
         from best""",
 }
-# The stored rows of append_alerts hold JSON text, whose number format differs between engines.
-del ORACLES["append_alerts"]

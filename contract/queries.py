@@ -141,6 +141,37 @@ def validate_records(spark, folder):
     return both.select("time", "ticker", F.array_join("failed", ",").alias("failed"))
 
 
+@query
+def landing_quarantine(spark, folder):
+    """Rows of all three kinds that break a rule, with the rules they break."""
+    raw_bars = views.stored_bars(spark, folder).selectExpr(
+        "time", "ticker", "if(volume % 3 = 0, -open, open) as open", "if(volume % 5 = 0, low / 2, high) as high", "low", "close",
+        "volume - 20 as volume", "if(volume % 11 = 0, 'other', source) as source")
+    raw_macro = views.macro_table(spark, folder).selectExpr(
+        "time", "series_id as ticker", "if(value < 0, cast(null as double), value) as value",
+        "if(value > 20, 'other', source) as source")
+    raw_options = views.options_chain(spark, folder).selectExpr(
+        "expiry as time", "ticker", "if(open_interest % 3 = 0, -strike, strike) as strike",
+        "if(volume % 7 = 0, 'straddle', option_type) as option_type",
+        "implied_volatility - 0.02 as implied_volatility", "open_interest", "volume")
+    made = None
+    for kind, rows in (("bars", raw_bars), ("macro", raw_macro), ("options", raw_options)):
+        _, bad = landing.validate_records(rows, kind)
+        part = bad.groupBy(F.lit(kind).alias("kind"), "ticker", F.array_join("failed", ",").alias("failed")).agg(
+            F.count(F.lit(1)).alias("n"))
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+@query
+def envelope_dead_letters(spark, folder):
+    """Every message is either exploded or a dead letter: unreadable ones, empty ones, unknown topics."""
+    sent = views.messages(spark, folder).withColumn("n", F.length("value")).selectExpr(
+        "topic", "case n % 5 when 0 then left(value, n - 9) when 1 then '{\"records\": []}' else value end as value")
+    dead = envelopes.dead_letters(sent)
+    return dead.groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def explode_envelope(spark, folder):
     rows = envelopes.explode_envelope(views.messages(spark, folder), "ohlcv", schemas.BARS)
@@ -213,11 +244,20 @@ def _alerts(spark, folder):
     return alerts.alert_rules(alerts.regime_transitions(views.signals(spark, folder)))
 
 
+def _parsed_alerts(a):
+    """Alerts with the fields of their payload: the two engines write numbers in JSON differently."""
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return a.select("id", "time", "ticker", "alert_type", "severity", "read",
+                    field("confidence").cast("double").alias("confidence"),
+                    field("from_regime").cast("double").alias("from_regime"),
+                    field("to_regime_name").alias("to_regime_name"))
+
+
 @query
 def append_alerts(spark, folder):
     path = shared_folder(spark, "alerts")
     store.append(_alerts(spark, folder), path)
-    return spark.read.parquet(path)
+    return _parsed_alerts(spark.read.parquet(path))
 
 
 @query
@@ -481,7 +521,7 @@ def validation_accuracy(spark, folder):
 
 @query
 def counter_rate_per_min(spark, folder):
-    return aggregates.counter_rate_per_min(views.metrics(spark, folder), "event_type")
+    return rounded(aggregates.counter_rate_per_min(views.metrics(spark, folder), "event_type", "seconds"))
 
 
 @query
@@ -519,10 +559,12 @@ def rolling_std(spark, folder):
 
 @query
 def ewm_mean(spark, folder):
-    means = [ordered.Ewm("ewm_adjusted", "close", 2 / 15, True), ordered.Ewm("ewm_recursive", "close", 2 / 15)]
-    df = ordered.over_blocks(
-        views.bars(spark, folder), lambda d: ordered.ewm_mean(d, means), ordered.ewm_reach(2 / 15))
-    return rounded(df.select("ticker", "time", "ewm_adjusted", "ewm_recursive"), 4)
+    means = [ordered.Ewm("ewm_adjusted", "close", 2 / 15, True), ordered.Ewm("ewm_recursive", "close", 2 / 15),
+             ordered.Ewm("ewm_half", "close", 0.5), ordered.Ewm("ewm_short", "close", 0.9), ordered.Ewm("ewm_long", "close", 0.01),
+             ordered.Ewm("ewm_gaps", "gappy", 2 / 15), ordered.Ewm("ewm_gaps_adjusted", "gappy", 2 / 15, True)]
+    bars = views.bars(spark, folder).withColumn("gappy", F.expr("if(volume % 4 = 0, null, close)"))
+    df = ordered.over_blocks(bars, lambda d: ordered.ewm_mean(d, means), ordered.ewm_reach(0.01))
+    return rounded(df.select("ticker", "time", *[m.out for m in means]), 4)
 
 
 @query
@@ -816,9 +858,26 @@ def format_pct(spark, folder):
 
 # -- I: streams ------------------------------------------------------------------------------------------
 
+PARTS, FILES = 4, 2
+
+
+def _in_batches(df, order):
+    """``df`` as a stream of four batches, cut at quartiles of ``order``, each of two files written in parallel."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "stream-files")
+    place = F.col(order) if dict(df.dtypes)[order] != "timestamp_ntz" else F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(place, [0.25, 0.5, 0.75])).first()[0]
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (place > c).cast("int")
+    cut = written(df.withColumn("_part", F.coalesce(part, F.lit(0))), "stream-rows")
+    for n in range(PARTS):  # one after another: files are read in the order of their times
+        cut.where(F.col("_part") == n).drop("_part").repartition(FILES).write.parquet(f"{path}/part={n}")
+    return jobs.file_source(spark, f"{path}/*", df.schema, files_per_batch=FILES)
+
+
 def _event_stream(spark, folder):
-    schema = views.table(spark, folder, "events").schema
-    return jobs.file_source(spark, folder, schema, glob="events.parquet")
+    return _in_batches(views.table(spark, folder, "events"), "ts")
 
 
 def _run(stream, handle, mode="append"):
@@ -827,14 +886,6 @@ def _run(stream, handle, mode="append"):
     writer.outputMode(mode).start().awaitTermination()
 
 
-_SIGNAL_COLUMNS = [
-    "ts as time", "concat('U', user_id % 15) as ticker", "cast(floor(value) % 4 as int) as regime",
-    "element_at(array('trending', 'mean_reverting', 'choppy', 'high_vol'), cast(floor(value) % 4 as int) + 1)"
-    " as regime_name",
-    "cast(event_id * 37 % 1000 as double) / 1000D as confidence",
-    "array(cast(event_id * 37 % 1000 as double) / 1000D) as ensemble_prob"]
-
-
 @query
 def stream_route(spark, folder):
     out = shared_folder(spark, "routed")
@@ -857,34 +908,49 @@ def stream_route(spark, folder):
     return rounded(rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")), 3)
 
 
-def _bar_files(spark, folder):
-    """Bars as three files of a stream, oldest first."""
-    path = shared_folder(spark, "bar-files")
-    bars = views.bars(spark, folder)
-    for n, years in enumerate(("year(time) < 1998", "year(time) = 1998", "year(time) > 1998")):
-        bars.filter(years).coalesce(1).write.parquet(f"{path}/part={n}")
-    return jobs.file_source(spark, f"{path}/*", bars.schema)
-
-
 @query
 def stream_feature_batches(spark, folder):
     out = shared_folder(spark, "stream-features")
     macro_rows = written(views.macro_table(spark, folder), "macro")
     handle = jobs.feature_batches(
         lambda: macro_rows, lambda: None, f"{out}/bars", f"{out}/features", f"{out}/messages")
-    _run(_bar_files(spark, folder), handle)
+    _run(_in_batches(views.bars(spark, folder), "time"), handle)
     return with_keys(spark.read.parquet(f"{out}/features"), "close", "rsi_14", "vix", "close_z")
 
 
+@query
+def stream_feature_job(spark, folder):
+    """Messages of all topics in one stream, to features with macro and options state."""
+    out = shared_folder(spark, "feature-job")
+    bars = views.bars(spark, folder).withColumn("time", F.col("time").cast("timestamp"))
+    macro_rows = views.macro_table(spark, folder).withColumn("time", F.col("time").cast("timestamp"))
+    metrics = options.options_metrics(views.options_chain(spark, folder, "l_returnflag"), views.CHAIN_TIES)
+    broken = spark.range(40).selectExpr("id", "'ohlcv' as topic", "'{broken' as value")
+    sent = None
+    # Macro and options come first, then the bars by their years, a broken message now and then.
+    for at, topic, rows, key in ((0, "macro", macro_rows, "series_id"), (1, "options", metrics, "ticker"),
+                                 (2, "ohlcv", bars, "ticker")):
+        values = rows.groupBy(key, *([F.year("time").alias("y")] if topic != "options" else [])).agg(
+            F.collect_list(F.struct(*rows.columns)).alias("records"))  # a year of one key at most
+        year = F.col("y") if topic == "ohlcv" else F.lit(0)
+        text = F.to_json(F.struct(F.lit("2024-01-01T00:00:00").alias("ingested_at"), "records"), envelopes.JSON_TIMES)
+        part = values.select((year * 10 + at).cast("long").alias("id"), F.lit(topic).alias("topic"), text.alias("value"))
+        sent = part if sent is None else sent.unionByName(part)
+    stream = _in_batches(sent.unionByName(broken), "id")
+    _run(stream, jobs.feature_job(f"{out}/bars", f"{out}/macro", f"{out}/options", f"{out}/features", f"{out}/messages"))
+    made = spark.read.parquet(f"{out}/features").select("ticker", "time", "close", "rsi_14", "vix", "put_call_ratio")
+    dead = spark.read.parquet(f"{out}/messages/dead/*").where("reason = 'unreadable'").count()
+    return rounded(made.withColumn("n_dead", F.lit(dead).cast("long")))
+
+
 @query
 def macro_cache(spark, folder):
     """Macro rows of a stream, upserted so that later batches still see earlier rows."""
     path = shared_folder(spark, "macro-cache")
-    schema = views.table(spark, folder, "orders").schema
-    stream = jobs.file_source(spark, folder, schema, glob="orders.parquet").selectExpr(
+    stream = _in_batches(views.table(spark, folder, "orders"), "o_orderkey").selectExpr(
         "o_orderdate as time", "o_orderpriority as series_id", "o_totalprice as value", "o_orderkey as seq")
-    _run(stream, lambda b, i: jobs.upsert_latest(b, path, i, ["series_id", "time"], "seq"))
-    return rounded(spark.read.parquet(f"{path}/version=0"))
+    _run(stream, lambda b, i: jobs.upsert_macro_rows(b, path, "seq"))
+    return rounded(spark.read.parquet(path).drop("period"))
 
 
 @query
@@ -894,7 +960,7 @@ def options_latest_state(spark, folder):
         "concat('U', user_id % 15) as ticker", "value as iv_skew_proxy", "value / 2 as put_call_ratio",
         "value * 2 as gex_proxy", "ts as time")
     _run(stream, lambda b, i: jobs.upsert_latest(b, path, i, ["ticker"], "time"))
-    return rounded(spark.read.parquet(f"{path}/version=0"))
+    return rounded(jobs.latest_state(spark, path))
 
 
 @query
@@ -902,17 +968,15 @@ def stream_infer(spark, folder):
     out = shared_folder(spark, "stream-signals")
     models, _ = trained(spark, folder)
     live = features(spark, folder)
-    path = shared_folder(spark, "feature-files")
     live.filter("year(time) < 2001").write.partitionBy("ticker").parquet(f"{out}/stored")
-    live.filter("year(time) >= 2001").coalesce(1).write.parquet(path)
-    stream = jobs.file_source(spark, path, live.schema)
+    stream = _in_batches(live.filter("year(time) >= 2001"), "time")
     _run(stream, jobs.inference_batches(models, f"{out}/stored", f"{out}/signals", f"{out}/messages"))
     return spark.read.parquet(f"{out}/signals/*").select("ticker", "time", "regime", "confidence")
 
 
 def _stream_alerts(spark, folder, name):
     out = shared_folder(spark, "stream-alerts")
-    stream = _event_stream(spark, folder).selectExpr(*_SIGNAL_COLUMNS)
+    stream = _in_batches(views.signals(spark, folder), "time")
     _run(stream, jobs.alert_batches(f"{out}/state", f"{out}/transitions", f"{out}/alerts"))
     return spark.read.parquet(f"{out}/{name}/*")
 
@@ -924,12 +988,7 @@ def stream_regime_shift(spark, folder):
 
 @query
 def alert_rules(spark, folder):
-    a = _alerts(spark, folder)
-    field = lambda name: F.get_json_object("payload", f"$.{name}")
-    return a.select("id", "time", "ticker", "alert_type", "severity", "read",
-                    field("confidence").cast("double").alias("confidence"),
-                    field("from_regime").cast("double").alias("from_regime"),
-                    field("to_regime_name").alias("to_regime_name"))
+    return _parsed_alerts(_alerts(spark, folder))
 
 
 @query
@@ -940,7 +999,10 @@ def feature_alerts(spark, folder):
 
 @query
 def start_offsets(spark, folder):
-    """A job that starts from the first message sees the whole table."""
+    """Jobs that rebuild tables start from the first message: such a job sees the whole table."""
+    first = [job for job, offset in jobs.START_OFFSETS.items() if offset == "earliest"]
+    if first != ["features"]:
+        raise ValueError(f"{first} would read all messages again")
     out = shared_folder(spark, "offsets")
     _run(_event_stream(spark, folder), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"))
     rows = spark.read.parquet(f"{out}/*")
@@ -949,14 +1011,19 @@ def start_offsets(spark, folder):
 
 @query
 def late_data_upsert(spark, folder):
+    """Bars, a later delivery, and in the same batch corrections that lower its closes again."""
     out = shared_folder(spark, "late")
+    stored = views.stored_bars(spark, folder).withColumn("seq", F.lit(0))
+    incoming = views.incoming_bars(spark, folder).withColumn("seq", F.lit(2))
+    corrected = incoming.where("dayofmonth(time) % 4 = 0").selectExpr(
+        "time", "ticker", "open", "high", "low", "close / 4 as close", "volume", "vwap", "source", "3 as seq")
+    both = stored.unionByName(incoming).unionByName(corrected)
     path = shared_folder(spark, "late-files")
-    stored = views.stored_bars(spark, folder)
-    stored.coalesce(1).write.parquet(f"{path}/part=0")
-    views.incoming_bars(spark, folder).coalesce(1).write.parquet(f"{path}/part=1")
-    stream = jobs.file_source(spark, f"{path}/*", stored.schema)
-    _run(stream, lambda b, i: jobs.late_data_upsert(b, out))
-    return rounded(spark.read.parquet(out).select(*stored.columns))
+    for n, rows in enumerate((both.where("seq = 0"), both.where("seq > 0"))):
+        rows.repartition(FILES).write.parquet(f"{path}/part={n}")
+    stream = jobs.file_source(spark, f"{path}/*", both.schema, files_per_batch=FILES)
+    _run(stream, lambda b, i: jobs.late_data_upsert(b, out, ["seq"]))
+    return rounded(spark.read.parquet(out).select(*stored.drop("seq").columns))
 
 
 @query

@@ -77,13 +77,6 @@ def test_macro_join_fills_from_the_last_matching_bar(bars, macro_rows):
     assert (asof.vix == out.vix).all()
 
 
-def test_join_beyond_the_broadcast_bound(bars, macro_rows, monkeypatch):
-    wide = macro.by_date(macro.macro_features(macro.pivot_macro(macro_rows)))
-    hinted = macro.broadcast_if_small(wide)._jdf.queryExecution().analyzed().toString()
-    plain = macro.broadcast_if_small(wide, 10)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in hinted and "broadcast" not in plain
-
-
 def test_options_metrics(spark):
     rows = [("X", 90.0 + i, "put", 0.2 + i / 100, 100, 0.01, i) for i in range(8)]
     rows += [("X", 100.0 + i, "call", 0.1 + i / 100, 50, 0.02, 100 + i) for i in range(8)]

@@ -17,7 +17,9 @@ def test_landed_csv_to_bars(spark):
         f.write("Date,ticker,Open,High,Low,Close,Volume\n"
                 "2024-01-02T00:00:00Z,spy,472,475,471,474,100\n2024-01-03T00:00:00Z, spy ,474,475,470,473,110\n"
                 "2024-01-04T00:00:00Z,SPY,473,474,470,,120\n")
-    landed = landing.read_landed(spark, path)
+        f.write("not a date,SPY,x,y,z,w,v\n")
+    landed, bad = landing.read_landed(spark, path)
+    assert [r._corrupt for r in bad.collect()] == ["not a date,SPY,x,y,z,w,v"]
     out = landing.scan_bars(landed, ["Volume"]).orderBy("time").collect()
     assert [(r.ticker, r.close, r.volume) for r in out] == [("SPY", 474.0, 100), ("SPY", 473.0, 110)]
     assert landing.scan_bars(landed.limit(0), ["Volume"]).count() == 0
