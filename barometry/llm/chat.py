@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+PART_ARRAY = f"array<{PART}>"
 ATTACHMENTS = ("image", "audio", "document")
 
 #: Pixels of an image patch, tokens per second of sound, tokens per page.
@@ -59,7 +60,7 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
     """
     rows = turns.select(F.col(conv_id).alias("_conv"), F.col(turn).alias("_turn"),
                         F.coalesce(role, F.lit("")).alias("_role"),
-                        F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()).alias("_parts"))
+                        F.filter(F.coalesce(parts, F.array().cast(PART_ARRAY)), lambda p: p.isNotNull()).alias("_parts"))
     # Parts are compared as text: some Spark types in them have no order of their own.
     order = Window.partitionBy("_conv").orderBy("_turn", "_role", F.to_json("_parts"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
