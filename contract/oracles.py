@@ -335,6 +335,11 @@ ORACLES: dict[str, str] = {
                 case when open_interest < 0 then 'open_interest_not_negative' end,
                 case when volume < 0 then 'volume_not_negative' end) from o)
         select kind, ticker, failed, count(*) as n from f where failed <> '' group by 1, 2, 3""",
+    "envelope_dead_letters": """with m as (
+            select event_id % 5 as k, case event_type when 'click' then 'ohlcv' when 'view' then 'ohlcv' when 'signup' then 'macro'
+                       when 'purchase' then 'options' else 'other' end as topic from events)
+        select topic, case when topic = 'other' then 'unknown topic' when k = 0 then 'unreadable' else 'no records' end as reason,
+               count(*) as n from m where topic = 'other' or k < 2 group by 1, 2""",
     "explode_envelope": """
         select ts as time, 'U' || (user_id % 15) as ticker, value as open, value + 1 as close, event_id as volume
         from events where event_type in ('click', 'view')

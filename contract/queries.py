@@ -166,8 +166,9 @@ def landing_quarantine(spark, folder):
 @query
 def envelope_dead_letters(spark, folder):
     """Every message is either exploded or a dead letter: unreadable ones, empty ones, unknown topics."""
-    sent = views.messages(spark, folder).withColumn("n", F.length("value")).selectExpr(
-        "topic", "case n % 5 when 0 then left(value, n - 9) when 1 then '{\"records\": []}' else value end as value")
+    sent = views.messages(spark, folder).selectExpr(
+        "topic", "value", "cast(get_json_object(value, '$.batch_id') as bigint) as n").selectExpr(
+        "topic", "case n % 5 when 0 then left(value, length(value) - 9) when 1 then '{\"records\": []}' else value end as value")
     dead = envelopes.dead_letters(sent)
     return dead.groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("n"))
 
