@@ -28,6 +28,9 @@ from barometry.llm.common import add_columns, as_bytes
 BLOCK_CHARS = 1 << 19
 #: Bytes of text whose pre-tokens share one rank queue.
 GATHER_BYTES = 4 << 20
+#: The same where ids are decoded in the pass too, and ids that are decoded at once.
+ROUND_TRIP_BYTES = 2 << 20
+DECODE_IDS = 1 << 16
 #: A longer pre-token has a queue of its own.
 LONG_BYTES = 256
 
@@ -110,7 +113,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
                 keys.append(left << 32 | right)
                 made.append(rank)
     order = np.argsort(keys)
-    return np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+    return np.array(keys, np.int64)[order], np.array(made, np.int32)[order]
 
 
 class Encoder:
@@ -120,10 +123,17 @@ class Encoder:
         self.ranks = ranks
         self.classes = character_classes() if classes is None else classes
         self.single = [bytes([b]) for b in range(256)]
-        self.byte_ids = np.array([ranks[b] for b in self.single], np.int64)
+        self.byte_ids = np.array([ranks[b] for b in self.single], np.int32)
         self.none = max(ranks.values()) + 1  # stands for "no such pair" and lies behind every rank
         self.keys, self.made = pair_table(ranks)
 
+    def tokens(self) -> list[bytes]:
+        """The bytes of every id; an unused id has none."""
+        out = [b""] * self.none
+        for token, rank in self.ranks.items():
+            out[rank] = token
+        return out
+
     def long_merge(self, token: bytes) -> list[int]:
         """The ids of one long pre-token: a queue of its own, with a heap of positions in each bucket."""
         get, single = self.ranks.get, self.single
@@ -157,10 +167,10 @@ class Encoder:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, or ``none``."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.made[at], self.none)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(self.none))
 
     def merge_all(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many pre-tokens, one after another, and how many each has.
@@ -171,14 +181,14 @@ class Encoder:
         """
         none = self.none
         raw = np.frombuffer(b"\0".join(tokens) + b"\0", np.uint8)
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-        owner = np.repeat(np.arange(len(tokens)), sizes)
+        sizes = np.fromiter(map(len, tokens), np.int32, len(tokens)) + 1
+        owner = np.repeat(np.arange(len(tokens), dtype=np.int32), sizes)
         barriers = np.cumsum(sizes) - 1
         ids = self.byte_ids[raw]
         ids[barriers] = none
         n = len(ids)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        rank_at = np.full(n, none)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        rank_at = np.full(n, none, np.int32)
         rank_at[:-1] = self.lookup(ids[:-1], ids[1:])
         queue = RankQueue()
 
@@ -194,7 +204,7 @@ class Encoder:
             for a, b, rank in zip(starts, [*starts[1:], len(ranks)], ranks[starts].tolist()):
                 queue.add(rank, positions[a:b])
 
-        push(np.arange(n))
+        push(np.arange(n, dtype=np.int32))
         while (rank := queue.first()) is not None:
             held = queue.take(rank)
             at = held[0] if len(held) == 1 else np.concatenate(held)
@@ -394,13 +404,43 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
     return add_columns(df, [ids], {decoded: "binary"}, make)
 
 
+def round_trip(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", count: str = "n_tokens",
+               same: str = "round_trip", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``encode`` with ``same`` besides: whether the ids decode to the bytes of ``text`` (a null one has none).
+
+    Encoded, decoded and compared in one Arrow pass: a task needs one Python worker with one vocabulary, and
+    neither the text nor the decoded bytes go back to the JVM if ``drop`` names the text.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def make():
+        encoder = _encoder(shared)
+        token = encoder.tokens().__getitem__
+
+        def work(texts):
+            packed, equal = [], []
+            # A few texts at a time: their ids and bytes are all that is held besides the batch.
+            for data, text in zip(encoder.encode(texts.to_pylist()), texts):
+                packed.append(data)
+                n = 0
+                whole = memoryview(text.as_buffer() or b"").cast("B")
+                good = True
+                for at in range(0, len(data), 4 * DECODE_IDS):
+                    part = b"".join(map(token, np.frombuffer(data[at:at + 4 * DECODE_IDS], "<u4").tolist()))
+                    good = good and whole[n:n + len(part)] == part
+                    n += len(part)
+                equal.append(good and n == len(whole))
+            return [packed, [len(p) // 4 for p in packed], equal]
+
+        return work
+
+    return add_columns(df, [text], {ids: "binary", count: "bigint", same: "boolean"}, make, drop, gather=ROUND_TRIP_BYTES)
+
+
 def id_array(ids: Column) -> Column:
     """Packed ids as an array of numbers."""
-    n = (F.length(ids) / 4).cast("int")
-
-    def number(i):
-        h = F.substring(F.hex(ids), i * 8 + 1, F.lit(8))
-        turned = F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
-        return F.conv(turned, 16, 10).cast("long")
+    def number(h):
+        return F.conv(F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).otherwise(F.array().cast("array<bigint>"))
+    # Eight digits a time, in one pass over the whole.
+    return F.transform(F.regexp_extract_all(F.hex(F.coalesce(ids, F.lit(b""))), F.lit("(.{8})"), F.lit(1)), number)

@@ -21,6 +21,8 @@ K = 128
 #: Documents that are ordered together by ``with_next``, and the most such groups (their first ids are broadcast).
 NEXT_GROUP = 512
 NEXT_GROUPS = 100_000
+#: Shares of one key whose sketches are limited apart when sketches are merged.
+MERGE_PARTS = 64
 
 
 def with_sketch(df: DataFrame, text: str = "text", sketch: str = "sketch", k: int = K) -> DataFrame:
@@ -45,14 +47,25 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_sketches(df: DataFrame, key: str, sketch: str = "sketch", k: int = K) -> DataFrame:
-    """One sketch per key from the sketches of its parts. No group is gathered: the smallest hashes of a key are
-    limited before the shuffle, so at most k a task and key are sent."""
-    hashes = df.select(key, F.explode(sketch).alias("_h")).distinct()
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("_h"))
-    least = hashes.withColumn("_n", nth).where(F.col("_n") <= k)
-    found = least.groupBy(key).agg(F.sort_array(F.collect_list("_h")).alias(sketch))
-    return df.select(key).distinct().join(found, df[key].eqNullSafe(found[key]), "left").select(
-        df[key], F.coalesce(found[sketch], F.array().cast("array<bigint>")).alias(sketch))
+    """One sketch per key from the sketches of its parts, a null key included; null sketches are empty.
+
+    No group is gathered: a key's hashes are first limited within each of ``MERGE_PARTS`` shares of its parts, so
+    at most k a share are left when the shares of one key meet. A rank limit goes before either shuffle too.
+    """
+    parts = df.select(F.col(key).alias("_key"), F.coalesce(F.col(sketch), F.array().cast("array<bigint>")).alias("_s"))
+    # Copies go first, with partial results; a hash of the sketch deals the rest of a key evenly, and alike on a retry.
+    dealt = parts.distinct().withColumn("_share", F.pmod(F.xxhash64("_s"), F.lit(MERGE_PARTS)))
+    hashes = dealt.select("_key", "_share", F.explode_outer("_s").alias("_h"))
+    some = _least(hashes, ["_key", "_share"], k).select("_key", "_h")
+    least = _least(some, ["_key"], k)
+    # A key of empty sketches keeps a null hash, which the list leaves out.
+    return least.groupBy("_key").agg(F.sort_array(F.collect_list("_h")).alias(sketch)).withColumnRenamed("_key", key)
+
+
+def _least(hashes: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The ``k`` smallest distinct hashes of each key; nulls come last and count like a hash."""
+    nth = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("_h").asc_nulls_last()))
+    return hashes.withColumn("_n", nth).where(F.col("_n") <= k).drop("_n").distinct()
 
 
 def distinct_shingles(sketch: Column, k: int = K) -> Column:

@@ -176,8 +176,10 @@ class Automaton:
                     size = length[state]
             state = moves[state].get(code, 0)
             size = size + 1 if state else 0
+            # A state stands for all suffixes with its end places: a phrase longer than the match is not there.
             for n, label in ending[state]:
-                phrases.append((i - n + 1, label))
+                if n <= size:
+                    phrases.append((i - n + 1, label))
         if size >= MIN_MATCH:
             matches.append((begin + len(codes) - size, size, self.places[state]))
 

@@ -190,7 +190,7 @@ def op2_secret_scan(spark, folder):
 
 @query
 def op8_jaccard_join(spark, folder):
-    return jaccard.jaccard_join(documents(spark, folder, "doc_id", "text"))
+    return jaccard.jaccard_join(documents(spark, folder, "doc_id", "text"), width=3, percent=90)
 
 
 ORACLES["op8_jaccard_join"] = r"""

@@ -59,6 +59,16 @@ def test_bpe_round_trip(spark, small_docs, odd_docs, no_docs):
                 assert r.numbers == LIBRARY.encode_ordinary(r.text or "")
 
 
+def test_bpe_one_pass(spark, small_docs, odd_docs, no_docs, monkeypatch):
+    monkeypatch.setattr(bpe, "DECODE_IDS", 7)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for docs in (small_docs, odd_docs, no_docs):
+        out = bpe.round_trip(docs, path, ids="_ids").collect()
+        assert len(out) == docs.count() and all(r.round_trip for r in out)
+        assert Counter((r.doc_id, bytes(r._ids)) for r in out) == Counter(
+            (r.doc_id, bytes(r.ids)) for r in bpe.encode(docs, path).collect())
+
+
 def plain_words(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
@@ -82,6 +92,17 @@ def test_license_base(small_docs, odd_docs, no_docs):
             assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
 
 
+def test_license_base_of_random_lists():
+    """Lists over the words of phrases and templates: parts of phrases, and phrases in pieces of templates."""
+    rng, a = random.Random(11), automaton()
+    phrase_words = sorted({w for p in licenses.BASE_PHRASES for w in plain_words(p)}) + ["lesser", "affero", "other"]
+    pool = phrase_words * 6 + [w for t in licenses.TEMPLATES.values() for w in plain_words(t)]
+    texts = ["General Public License", "GNU Lesser General Public License", "the GNU Affero General Public License", "license", "public license gnu general"]
+    texts += [" ".join(rng.choice(phrase_words if k % 2 else pool) for _ in range(rng.randrange(1, 14))) for k in range(20_000)]
+    for text in texts:
+        assert licenses.scan_text(a, text.encode())[:5] == plain_base(text), text
+
+
 def automaton():
     return licenses.Automaton(licenses.TEMPLATES, licenses.BASE_PHRASES)
 
