@@ -13,41 +13,54 @@ from barometry.llm.queries import MIX_REST, MIX_WEIGHTS, RANKS
 from barometry.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies: words of a shingle and least similarity in per cent.
+SHINGLE = 5
+PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with some confidence."""
+    """Documents whose language is known with some confidence. Null and blank texts have none and go; ids play no part,
+    and equal rows have one verdict."""
     judged = language.language_id(docs, declared="lang", host="source")
     return judged.where("language_kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of repeated windows; those of which nothing is left go."""
+    """Documents without the lines of repeated windows; those of which nothing is left go.
+
+    Null and empty texts stay. Rows that repeat an id (null included) and a text are one document, with one result."""
     cleaned = lines.line_dedup(docs).where("n_removed = 0 or n_removed < n_lines")
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    found = jaccard.jaccard_join(docs)
-    keep = written(found.where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct(), "keep")
-    kept = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
-    # Rows that share an id are one document.
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
+    """One document of each group of near copies: the one with the smallest id, an id before none.
+
+    A document is a row, whatever its id: texts that share an id, or have none, are compared like others. Repeated
+    rows are copies, of which one stays. Null texts and texts without words are alone in their groups.
+    """
+    # Rows are named by their content, so that a task that runs again names them alike.
+    named = docs.withColumn("_row", F.xxhash64(*COLUMNS))
+    found = jaccard.jaccard_join(named, "_row", width=SHINGLE, percent=PERCENT)
+    groups = found.select("_row", "component_id").distinct().join(named.select("_row", "doc_id").distinct(), "_row")
+    keep = written(groups.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select(
+        F.col("first._row").alias("_kept")), "keep")
+    kept = named.join(keep, F.col("_row") == F.col("_kept"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_row", *COLUMNS).orderBy("_row"))
     return kept.withColumn("_n", nth).where("_n = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents so that every source has its share, shuffled."""
+    """Copies of documents so that every source has its share, shuffled. A null source is one of the rest; null and
+    empty texts are drawn like others; rows with equal ids, null ones too, are drawn alike."""
     return mixing.mix(docs, MIX_WEIGHTS, MIX_REST).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
-    encoded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), RANKS)
-    digest = encoded.withColumn("_sha", F.sha2("text", 256)).drop("text")
-    return bpe.decode(digest, RANKS).select(
-        "doc_id", "source", "lang", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip"))
+    """Token ids of every row, and whether they decode to its text; null and empty texts have no ids."""
+    return bpe.round_trip(docs.select("doc_id", "source", "lang", "text"), RANKS, drop=("text",)).select(
+        "doc_id", "source", "lang", "n_tokens", "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
