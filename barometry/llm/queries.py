@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barometry.llm import bpe, chat, fingerprints, jaccard, language, licenses, lines, mixing, quality, secrets
+from barometry.llm import (
+    audit, bpe, chat, fingerprints, infill, jaccard, language, licenses, lines, mixing, pieces, quality, secrets,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn):
@@ -226,3 +229,90 @@ def op9_language_id(spark, folder):
                                  keep_text=False)
     return found.select("doc_id", F.col("lang").alias("declared"), "text_language", "language",
                         F.round("confidence", 6).alias("confidence"), F.col("language_kept").alias("kept"))
+
+
+@query
+def op11_sentencepiece(spark, folder):
+    encoded = pieces.encode(documents(spark, folder, "doc_id", "text"), PIECES, drop=("text",))
+    made = pieces.decode(encoded, PIECES)
+    return made.select("doc_id", "n_tokens", hex_digest(pieces.id_text(F.col("ids"))).alias("ids_sha256"),
+                       hex_digest("decoded").alias("decoded_sha256"))
+
+
+@query
+def op12_filter_audit(spark, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality", "toxic")
+    return audit.filter_audit(audit.file_stream(spark, f"{folder}/documents.parquet"), labels)
+
+
+ORACLES["op12_filter_audit"] = r"""
+with recursive letters(l, i) as (
+    values ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4)
+), orders(o, mask) as (
+    select '', 0
+    union all select o || l, mask | (1 << i) from orders, letters where mask & (1 << i) = 0
+), steps as (
+    select o as filter_order, step, substr(o, step, 1) as f,
+           list_sum([0] || [1 << (ord(substr(o, k, 1)) - 65) for k in range(1, step)])::int as earlier,
+           1 << (ord(substr(o, step, 1)) - 65) as own
+    from orders, (select unnest(range(1, 6)) as step) where length(o) = 5
+), d as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents
+), w as (
+    select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+           coalesce(min(doc_id) over (partition by t) < doc_id, false) as copy
+    from d
+), g as (
+    select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id
+), m as (
+    select part, (len(ws) < 50)::int + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::int
+           + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int
+           + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * copy::int as mask,
+           coalesce(good, false)::int as good, coalesce(toxic, false)::int as toxic
+    from w left join g using (doc_id)
+), c as (
+    select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask
+), x as (
+    select part, filter_order, step, f, n, good, toxic, mask & own <> 0 as fails, mask & earlier <> 0 as gone,
+           mask & (own | earlier) = 0 as kept, mask = own as only_it
+    from c, steps
+), r as (
+    select part, filter_order, step, f, sum(if(kept, n, 0))::bigint as kept, sum(if(fails and not gone, n, 0))::bigint as removed,
+           sum(if(fails and gone, n, 0))::bigint as redundant, sum(if(only_it, n, 0))::bigint as unique_fails,
+           sum(if(fails and not gone, good, 0))::bigint as good_lost, sum(if(fails and not gone, toxic, 0))::bigint as toxic_lost
+    from x group by part, filter_order, step, f
+)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, f))::bigint as shapley
+from r
+"""
+
+
+@query
+def op13_fill_in_middle(spark, folder):
+    made = infill.fill_in_middle(documents(spark, folder, "doc_id", "text"), drop=("text",))
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+                       hex_digest("infill").alias("output_sha256"),
+                       hex_digest(infill.restored(F.col("infill"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+with d as (
+    select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+), u as (
+    select *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as us, ('0x' || substr(h, 1, 8))::bigint as h1,
+           ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4
+    from d
+), c as (
+    select *, len(us) as n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) as a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) as b,
+           case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+                when h4 % 100 < 20 then 'spm' else 'psm' end as form
+    from u
+), p as (
+    select *, array_to_string(us[1:a], '') as pre, array_to_string(us[a + 1:b], '') as mid, array_to_string(us[b + 1:], '') as suf from c
+)
+select doc_id, n, form, if(form = 'plain', null, length(pre)) as prefix_chars, if(form = 'plain', null, length(mid)) as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+              else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from p
+"""
