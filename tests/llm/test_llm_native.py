@@ -279,20 +279,36 @@ def test_jaccard_odd_rows(odd_docs, no_docs):
     assert got[5].component_id == 4 and got[8].component_id == 8
 
 
-def test_pigeonhole_files():
-    """Linked sets share a file; the R-tree bound never loses a pair that links."""
+def test_kept_files():
+    """Linked sets share a file that both keep, whatever the weights; the R-tree bound never loses a pair that links."""
     import numpy as np
     rng = np.random.default_rng(1)
-    for k in range(600):
+    common = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    linked = 0
+    for k in range(500):
         percent = (80, 90)[k % 2]
         n = int(rng.integers(2, 600))
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-        k = int(len(a) * rng.random() * 0.12)
-        b = np.unique(np.concatenate([a[rng.permutation(len(a))[k:]], rng.integers(0, 1 << 63, int(k * rng.random() * 1.5), dtype=np.uint64)]))
-        if jaccard.linked(a, b, percent):
-            assert np.array_equal(a, b) or np.intersect1d(jaccard.group_files(a, percent), jaccard.group_files(b, percent)).size
-            tree = jaccard.RTree(jaccard.counts(a)[None], np.array([len(a)]))
-            assert list(tree.candidates(jaccard.counts(b)[None], np.array([len(b)]), percent))
+        a = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), common[:int(rng.integers(0, n))]]))
+        j = int(len(a) * rng.random() * 0.12)
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[j:]], rng.integers(0, 1 << 63, int(j * rng.random() * 1.5), dtype=np.uint64)]))
+        if not jaccard.linked(a, b, percent) or np.array_equal(a, b):
+            continue
+        linked += 1
+        weight = Counter()
+        others = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, n, dtype=np.uint64)])) for _ in range(3)]
+        for s in (a, b, *others):
+            for files, _ in jaccard.group_files(s, percent):
+                weight.update(files.tolist())
+        kept = []
+        for s in (a, b):
+            mine = set()
+            for files, keep in jaccard.group_files(s, percent):
+                mine |= set(sorted(files.tolist(), key=lambda f: (-weight[f], jaccard.signed(np.array([f], np.uint64))[0]))[max(0, len(files) - keep):])
+            kept.append(mine)
+        assert kept[0] & kept[1]
+        tree = jaccard.RTree(jaccard.counts(a)[None], np.array([len(a)]))
+        assert list(tree.candidates(jaccard.counts(b)[None], np.array([len(b)]), percent))
+    assert linked > 200
 
 
 def test_connected_components(spark):
