@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from barometry.operators.ranges import range_index
+
+#: The bucket of a series that is cut by range partitions (see ``ranges``), not by a calendar.
+RANGE = "range"
 IDX, BLOCK, STRETCH, RUN, BUCKET = "_idx", "_block", "_stretch", "_run", "_bucket"
 
 
@@ -53,6 +57,8 @@ class Series:
 
 
 TICKER_TIME = Series()
+# Any density of rows, from years apart to all within a minute: no calendar, ranges that Spark samples instead.
+RANGED = Series(bucket=RANGE)
 # Many rows a day per ticker (signals, ticks): hours are numbered apart, so a busy ticker is split by itself.
 INTRADAY = Series(bucket="hour")
 # One series only (the wide macro table); still cut into buckets and blocks.
@@ -73,6 +79,8 @@ def row_index(
     null ``_idx``, is not filled and counts for no other row.
     """
     key, order = series.key, series.order
+    if series.bucket == RANGE:
+        return range_index(df, [key], order, IDX, ties, fill)
     placed = F.col(key).isNotNull() & F.col(order).isNotNull()
     loose = F.timestamp_seconds(-(1 << 40) - F.pmod(F.xxhash64(*df.columns), F.lit(LOOSE)))
     bucket = F.date_trunc(series.bucket, F.col(order)).cast("timestamp")
