@@ -7,6 +7,7 @@ from barometry.constants import MACRO_JOINED, MACRO_NAMES, MACRO_TERM_LAG, ZSCOR
 from barometry.operators.ordered import (
     IDX, SINGLE, TICKER_TIME, Series, latest_n, over_blocks, rolling_zscores, row_index,
 )
+from barometry.operators.ranges import asof_join
 
 def recode_series(df: DataFrame) -> DataFrame:
     """Keep the five used series and replace their ids by column names (``name``)."""
@@ -59,7 +60,9 @@ def join_macro_date_ffill(bars: DataFrame, macro: DataFrame, series: Series = TI
 
 
 def join_macro_asof(bars: DataFrame, macro: DataFrame) -> DataFrame:
-    """Each bar gets the latest macro row dated at or before it.
+    """Each bar gets the latest macro row of its calendar date or an earlier one, for daily bars and macro rows of days.
+
+    On intraday bars ``join_macro_asof_time`` is the one that does not look ahead within the day.
 
     Every macro row is repeated for the calendar days until the next one, which turns the as-of join
     into a join on equal dates. The repeated frame has one row per calendar day.
@@ -76,6 +79,15 @@ def join_macro_asof(bars: DataFrame, macro: DataFrame) -> DataFrame:
     return dated.join(daily, "_date", "left").drop("_date")
 
 
+def join_macro_asof_time(bars: DataFrame, macro: DataFrame, time: str = "time") -> DataFrame:
+    """Each bar gets the latest macro row stamped at or before it, to the microsecond.
+
+    A bar of 09:30 sees nothing that is stamped later the same day. Both sides become one series in range
+    partitions; bars without a time get nulls.
+    """
+    return asof_join(bars, macro.select(F.col("time").alias(time), *MACRO_JOINED), time)
+
+
 def macro_term_slope(macro: DataFrame, n: int = 20) -> DataFrame:
     """Per series, (last - first) / count over the last ``n`` observations; null below two."""
     recent = latest_n(macro, n, key="series_id")

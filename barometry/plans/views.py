@@ -79,6 +79,19 @@ def bar_signals(spark: SparkSession, folder: str) -> DataFrame:
         from {orders}""", "orders")
 
 
+def intraday_macro(spark: SparkSession, folder: str) -> DataFrame:
+    """Macro observations stamped at hours of the day."""
+    return macro(spark, folder).selectExpr(
+        "time + make_dt_interval(0, cast(seq * 5 % 24 as int)) as time", "series_id", "value", "seq")
+
+
+def gappy_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """Event values by event type, most of them unknown; several events may share a time."""
+    return _sql(spark, folder, """
+        select event_type as ticker, date_trunc('minute', ts) as time, event_id as seq,
+               case when event_id % 7 = 3 then value end as price from {events}""", "events")
+
+
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Service metrics: one counted, timed unit of work per event."""
     return _sql(spark, folder, """

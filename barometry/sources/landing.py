@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barometry import schemas
 from barometry.constants import MACRO_SOURCES, OHLCV_SOURCES
@@ -14,14 +15,26 @@ _PRICES = ["Open", "High", "Low", "Close"]
 
 
 def read_landed(spark, path: str, kind: str = "csv") -> tuple[DataFrame, DataFrame]:
-    """Landed price files with a fixed schema: readable rows, and unreadable ones as text with their file."""
-    reader = spark.read.schema(schemas.LANDED_PRICES.add("_corrupt", "string")).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt")
+    """Landed price files with a fixed schema: readable rows, and unreadable ones as text with their file.
+
+    Files are read line by line (``csv`` with the schema's order of columns, or ``json``), so either frame can be
+    counted, filtered and joined like any other. Header lines and blank lines are no rows. A quoted line break is not supported.
+    """
+    prices = schemas.LANDED_PRICES
+    whole = T.StructType([*prices.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
     if kind == "csv":
-        reader = reader.option("header", True)
-    rows = reader.format(kind).load(path)
-    bad = rows.where("_corrupt is not null").select("_corrupt", F.col("_metadata.file_path").alias("file"))
-    return rows.where("_corrupt is null").drop("_corrupt"), bad
+        names = F.split(F.regexp_replace(F.lower("value"), "[\"' \\r]", ""), ",")
+        # The first column is called Date or Datetime.
+        head = F.array_join(F.slice(names, 2, 1000), ",") == ",".join(f.lower() for f in prices.names[1:])
+        lines = lines.where(~(head & F.get(names, F.lit(0)).isin("date", "datetime")))
+        parsed = F.from_csv("value", whole.simpleString()[len("struct<"):-1].replace(":", " "), options)
+    else:
+        parsed = F.from_json("value", whole, options)
+    rows = lines.withColumn("_row", parsed)
+    bad = rows.where("_row._corrupt is not null").select(F.col("_row._corrupt").alias("_corrupt"), "file")
+    return rows.where("_row._corrupt is null").select("_row.*").drop("_corrupt"), bad
 
 
 def scan_bars(landed: DataFrame, order: Sequence[str], ticker: str = "ticker") -> DataFrame:

@@ -283,6 +283,15 @@ ORACLES: dict[str, str] = {
             qualify row_number() over (partition by l_returnflag, l_shipdate order by
                 {", ".join(t + " desc" for t in TIES.split(", "))}) = 1)
         where close is not null""",
+    "landed_files": """with p as (
+            select l_shipdate as time, l_returnflag as flag, l_orderkey * 10 + l_linenumber as n, l_quantity from lineitem
+        ), k as (select p.*, kind from p, (values ('csv'), ('json')) k(kind))
+        select kind, lower(flag) as ticker, time, count(*) as n_rows, count(*) filter (where l_quantity <> 13) as n_closed,
+               sum(l_quantity) + 0.0 as volume
+        from k where n % 11 <> 0 and (kind = 'json' or n % 13 <> 0) group by 1, 2, 3
+        union all
+        select kind, null, null, count(*), count(*), sum(length(case kind when 'csv' then 'bad,' || n || ',1,x' else '{"n": ' || n end)) + 0.0
+        from k where n % 11 = 0 group by 1""",
     "scan_universe": f"""with {BARS}
         select u.ticker, time, {r('close')}, volume::double as volume
         from (values ('A'), ('N'), ('R'), ('ZZZ')) u(ticker) left join bars using (ticker)""",
@@ -414,6 +423,9 @@ ORACLES: dict[str, str] = {
     "join_macro_asof": f"with {BARS}, {MACRO_CHAIN} select b.ticker, b.time, "
                        + ", ".join(r(f"m.{c}", c) for c in MACRO_JOINED)
                        + " from bars b asof left join macro_features m on b.time >= m.time",
+    "join_macro_asof_time": "with " + BAR_SIGNALS + ", " + MACRO_CHAIN.replace(
+        "o_orderdate as time", "o_orderdate + to_hours(o_orderkey * 5 % 24) as time", 1) + " select b.ticker, b.time, b.seq, "
+        + ", ".join(r(f"m.{c}", c) for c in MACRO_JOINED) + " from bar_signals b asof left join macro_features m on b.time >= m.time",
     "join_options_metrics": f"""with {BARS}, {FLAG_CHAIN}, {TOP}, {PUT_CALL}, {SKEW}, {GEX}, {OPTIONS}
         select ticker, time, {rs('close', 'iv_skew_proxy', 'put_call_ratio', 'gex_proxy')}
         from bars left join opts using (ticker)""",
@@ -516,6 +528,12 @@ ORACLES: dict[str, str] = {
         from lineitem qualify row_number() over (partition by l_returnflag, l_shipdate order by
             {", ".join(t + " desc" for t in TIES.split(", "))}) = 1""",
     "row_index": over_bars("ticker, time, row_number() over (partition by ticker order by time) - 1 as row_idx"),
+    "row_index_by_range": f"""with t as (
+            select event_type as ticker, date_trunc('minute', ts) as time, event_id as seq,
+                   case when event_id % 7 = 3 then value end as price from events)
+        select ticker, time, seq, row_number() over w - 1 as row_idx,
+               {r('last_value(price ignore nulls) over (w rows unbounded preceding)', 'price')}
+        from t window w as (partition by ticker order by time, seq)""",
     "regime_transitions": TRANSITIONS,
     "sliding_sequences": f"""with {BARS}, {NEAR}
         select ticker, time, 60::bigint as n_rows, 120::bigint as n_values,

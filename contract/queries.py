@@ -17,7 +17,7 @@ from barometry.models import sequences as seqs
 from barometry.models.classifier import classify
 from barometry.models.ensemble import align_predictions, ensemble_predict
 from barometry.models.hmm import HmmModel, hmm_decode, hmm_fit, label_states, state_means
-from barometry.operators import aggregates, alerts, macro, momentum, normalise, options, ordered, reads, volatility
+from barometry.operators import aggregates, alerts, macro, momentum, normalise, options, ordered, ranges, reads, volatility
 from barometry.plans import training, views
 from barometry.plans.features import feature_pipeline, min_non_null_rows, sorted_by_ticker_time
 from barometry.session import shared_folder, written
@@ -101,6 +101,34 @@ def scan_bars(spark, folder):
     return rounded(landing.scan_bars(views.raw_prices(spark, folder), views.CHAIN_TIES))
 
 
+@query
+def landed_files(spark, folder):
+    """CSV and JSON lines as a download leaves them, some of them cut or garbled: rows by file kind, and the rest as text."""
+    prices = views.raw_prices(spark, folder).selectExpr(
+        "Datetime as Date", "concat(' ', lower(ticker)) as ticker", "Open", "High", "Low", "Close", "Volume",
+        "l_orderkey * 10 + l_linenumber as n")
+    columns = [c for c in prices.columns if c != "n"]
+    stamp = prices.withColumn("Date", F.date_format("Date", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    csv = stamp.select(F.when(F.col("n") % 11 == 0, F.concat(F.lit("bad,"), F.col("n").cast("string"), F.lit(",1,x"))).when(
+        F.col("n") % 13 == 0, ",".join(columns)).otherwise(text).alias("value"))
+    # A cut line: its end is missing.
+    whole = F.to_json(F.struct(*columns))
+    json = stamp.select(F.when(F.col("n") % 11 == 0, F.concat(F.lit('{"n": '), F.col("n").cast("string"))).otherwise(whole).alias("value"))
+    out = None
+    for kind, lines in (("csv", csv), ("json", json)):
+        path = shared_folder(spark, "landed")
+        lines.write.text(path)
+        rows, bad = landing.read_landed(spark, path, kind)
+        good = rows.groupBy(F.trim("ticker").alias("ticker"), F.col("Date").cast("timestamp_ntz").alias("time")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count("Close").alias("n_closed"), F.sum("Volume").alias("volume"))
+        failed = bad.groupBy(F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("timestamp_ntz").alias("time")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count("_corrupt").alias("n_closed"), F.sum(F.length("_corrupt")).cast("double").alias("volume"))
+        part = good.unionByName(failed).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
 @query
 def scan_universe(spark, folder):
     return with_keys(landing.scan_universe(views.bars(spark, folder), ["A", "N", "R", "ZZZ"]).withColumn(
@@ -420,6 +448,13 @@ def join_macro_asof(spark, folder):
     return with_keys(df, *MACRO_JOINED)
 
 
+@query
+def join_macro_asof_time(spark, folder):
+    wide = macro.macro_features(macro.pivot_macro(views.intraday_macro(spark, folder)))
+    df = macro.join_macro_asof_time(views.bar_signals(spark, folder), wide)
+    return with_keys(df, "seq", *MACRO_JOINED)
+
+
 @query
 def join_options_metrics(spark, folder):
     chain = views.options_chain(spark, folder, "l_returnflag")
@@ -666,6 +701,13 @@ def row_index(spark, folder):
     return with_keys(reads.positions(views.bars(spark, folder)), "row_idx")
 
 
+@query
+def row_index_by_range(spark, folder):
+    """Positions and carried prices of event types that hold a fifth of all rows each."""
+    df = ranges.range_index(views.gappy_ticks(spark, folder), ["ticker"], "time", "row_idx", ["seq"], ["price"])
+    return rounded(df.select("ticker", "time", "seq", "row_idx", "price"))
+
+
 def _moves(df):
     return with_keys(df.withColumn("prev_regime", F.col("prev_regime").cast("double")),
                      "regime", "prev_regime", "changed")

@@ -25,6 +25,21 @@ def test_landed_csv_to_bars(spark):
     assert landing.scan_bars(landed.limit(0), ["Volume"]).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_landed_frames_take_any_action(spark, kind):
+    """Both frames can be counted; malformed lines keep their text and file."""
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    lines = {"csv": ["Datetime,Ticker,Open,High,Low,Close,Volume", "2024-01-02,SPY,1,2,1,2,5", "", "2024-01-03,SPY,1,2", "x,y,z,1,2,3,4"],
+             "json": ['{"Date": "2024-01-02T00:00:00Z", "ticker": "SPY", "Close": 2.0}', "", '{"Date": "2024', '[1']}[kind]
+    with open(f"{path}/p.{kind}", "w") as f:
+        f.write("\n".join(lines))
+    rows, bad = landing.read_landed(spark, path, kind)
+    assert rows.count() == 1 and bad.count() == 2
+    assert {r._corrupt for r in bad.collect()} == set(lines[-2:])
+    assert all(r.file.endswith(f"p.{kind}") for r in bad.collect())
+    assert rows.where("Close = 2").count() == 1 and bad.where("_corrupt is null").count() == 0
+
+
 def test_failing_ticker_is_isolated(bars):
     out = landing.scan_universe(bars, ["SPY", "BAD", "QQQ"])
     n = {r.ticker: r.n for r in out.groupBy("ticker").agg(F.count("close").alias("n")).collect()}
