@@ -4,7 +4,8 @@ A chain is sequential, but its transfer matrices multiply: a block of rows is su
 ``k x k`` product (sums for probabilities, maxima for the best path). Per pass:
 
 1. every block is reduced to its product, in parallel;
-2. per ticker the products, one small row per block, are scanned to get the state entering each block;
+2. the products, one small row per block, are scanned per ticker by a tree: products of ``FAN`` neighbours upwards until
+   few are left, then what enters and leaves them downwards, so no task holds all blocks of a ticker;
 3. every block is worked out exactly between its two ends, in parallel.
 
 The model update needs only summed statistics; the driver sees a few hundred numbers.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from barometry.constants import HMM_ITERATIONS, N_STATES
 from barometry.operators.ordered import BLOCK, IDX, TICKER_TIME, Series, row_index
+from barometry.session import written
 
 HMM_BLOCK_ROWS = 65_536
 _STRETCH = 256  # rows worked through one by one, all stretches of a block side by side
@@ -180,8 +182,12 @@ def _features_of(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["x"].to_numpy())
 
 
-def _ends(rows: DataFrame, model: HmmModel, decode: bool) -> DataFrame:
-    """What enters and leaves each block, one row per block."""
+def last_block(rows: DataFrame) -> int | None:
+    return rows.agg(F.max(BLOCK)).first()[0]  # one number
+
+
+def _ends(rows: DataFrame, model: HmmModel, decode: bool, last: int | None = None) -> DataFrame:
+    """What enters and leaves each block, one row per block. ``last`` is the highest block number, if known."""
     k = len(model.start)
 
     def reduce_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,35 +202,98 @@ def _ends(rows: DataFrame, model: HmmModel, decode: bool) -> DataFrame:
             out[name] = q.ravel().tolist()
         return pd.DataFrame([out])
 
-    def scan_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK)
-        p = np.stack(pdf["total"].to_numpy()).reshape(-1, k, k)
-        uniform, ones = np.full(k, -np.log(k)), np.zeros(k)
-        into = entering(p, uniform, False)
-        out = pdf[["ticker", BLOCK]].copy()
-        top = into[:-1].max(1, keepdims=True)
-        out["into"] = list(into[:-1] - top)
-        back = leaving(p, ones)[1:]
-        out["out_of"] = list(back - back.max(1, keepdims=True))
-        out["loglik"] = 0.0
-        out.loc[out.index[-1], "loglik"] = float(np.logaddexp.reduce(into[-1]))
-        if decode:
-            b = np.stack(pdf["best"].to_numpy()).reshape(-1, k, k)
-            d = entering(b, np.zeros(k), True)
-            out["into_best"] = list(d[:-1])
-            out["exit_state"] = best_exits(b, np.zeros(k), int(d[-1].argmax()))
-        else:
-            out["into_best"], out["exit_state"] = list(np.zeros((len(out), k))), 0
-        return out
-
     reduced = rows.groupBy("ticker", BLOCK).applyInPandas(
         reduce_block, f"ticker string, {BLOCK} long, total array<double>, best array<double>")
-    return reduced.groupBy("ticker").applyInPandas(
-        scan_ticker, f"ticker string, {BLOCK} long, into array<double>, out_of array<double>, "
-                     "loglik double, into_best array<double>, exit_state long")
+    last = last_block(rows) if last is None else last
+    if last is None or last < FAN:
+        return _scan_top(reduced, k, decode)
+    # Up: products of FAN neighbours, until few are left per ticker. The tables hold one small row per block.
+    levels = [written(reduced, "hmm-level")]
+    while last >= FAN:
+        levels.append(written(_products_above(levels[-1], k, decode), "hmm-level"))
+        last //= FAN
+    # Down: what enters and leaves a product, carried on to those it is made of.
+    ends = _scan_top(levels.pop(), k, decode)
+    while levels:
+        ends = written(_ends_below(levels.pop(), ends, k), "hmm-ends")
+    return ends
+
+
+#: Block products that are multiplied or scanned in one task.
+FAN = 64
+_ENDS = (f"ticker string, {BLOCK} long, into array<double>, out_of array<double>, loglik double, "
+         "into_best array<double>, exit_state long")
+
+
+def _matrices(column: pd.Series, k: int) -> np.ndarray:
+    return np.stack(column.to_numpy()).reshape(-1, k, k)
+
+
+def _folded(column: pd.Series, k: int, best: bool) -> np.ndarray:
+    out, *others = _matrices(column, k)
+    for one in others:
+        out = _times(out, one, best)
+    return out
+
+
+def _products_above(level: DataFrame, k: int, decode: bool) -> DataFrame:
+    """The products of ``FAN`` neighbours each, numbered like blocks."""
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLOCK)
+        total = _folded(pdf["total"], k, False).ravel().tolist()
+        best = _folded(pdf["best"], k, True).ravel().tolist() if decode else total
+        return pd.DataFrame([{"ticker": key[0], BLOCK: key[1], "total": total, "best": best}])
+
+    above = level.withColumn("_above", F.expr(f"{BLOCK} div {FAN}L"))
+    return above.groupBy("ticker", "_above").applyInPandas(fold, level.schema)
+
+
+def _inner_ends(pdf: pd.DataFrame, k: int, into, out_of, into_best, exit_state: int | None, loglik: float | None) -> pd.DataFrame:
+    """What enters and leaves each of a list of neighbouring products, between the ends of the whole list.
+
+    Without an exit state the best one is taken; without a likelihood the list's own."""
+    p, b = _matrices(pdf["total"], k), _matrices(pdf["best"], k)
+    ahead, back = entering(p, into, False), leaving(p, out_of)[1:]
+    best = entering(b, into_best, True)
+    out = pdf[["ticker", BLOCK]].copy()
+    out["into"] = list(ahead[:-1] - ahead[:-1].max(1, keepdims=True))
+    out["out_of"] = list(back - back.max(1, keepdims=True))
+    out["loglik"] = 0.0
+    out.loc[out.index[-1], "loglik"] = float(np.logaddexp.reduce(ahead[-1])) if loglik is None else loglik
+    out["into_best"] = list(best[:-1] - best[:-1].max(1, keepdims=True))
+    out["exit_state"] = best_exits(b, into_best, int(best[-1].argmax()) if exit_state is None else exit_state)
+    return out
+
+
+def _scan_top(level: DataFrame, k: int, decode: bool) -> DataFrame:
+    """The ends of at most ``FAN`` products a ticker, from the beginning to the end of its chain."""
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLOCK)
+        if not decode:
+            pdf["best"] = pdf["total"]
+        return _inner_ends(pdf, k, np.full(k, -np.log(k)), np.zeros(k), np.zeros(k), None, None)
+
+    return level.groupBy("ticker").applyInPandas(scan, _ENDS)
+
+
+def _ends_below(level: DataFrame, ends: DataFrame, k: int) -> DataFrame:
+    """The ends of the products of a level from those of the level above."""
+
+    def spread(key: tuple, pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or above.empty:
+            return pd.DataFrame({c: [] for c in ("ticker", BLOCK, "into", "out_of", "loglik", "into_best", "exit_state")})
+        end = above.iloc[0]
+        vector = lambda name: np.array(end[name])
+        return _inner_ends(pdf.sort_values(BLOCK), k, vector("into"), vector("out_of"), vector("into_best"),
+                           int(end["exit_state"]), float(end["loglik"]))
+
+    below = level.withColumn("_above", F.expr(f"{BLOCK} div {FAN}L"))
+    return below.groupBy("ticker", "_above").cogroup(ends.groupBy("ticker", BLOCK)).applyInPandas(spread, _ENDS)
 
 
-def _statistics(rows: DataFrame, model: HmmModel) -> np.ndarray:
+def _statistics(rows: DataFrame, model: HmmModel, last: int | None = None) -> np.ndarray:
     """Summed expected statistics of all blocks as one flat vector."""
     k = len(model.start)
 
@@ -242,7 +311,7 @@ def _statistics(rows: DataFrame, model: HmmModel) -> np.ndarray:
             np.einsum("ns,ni,nj->sij", gamma, x, x, optimize=True).ravel()])
         return pd.DataFrame({"stats": [flat]})
 
-    ends = _ends(rows, model, decode=False)
+    ends = _ends(rows, model, decode=False, last=last)
     stats = rows.groupBy("ticker", BLOCK).cogroup(ends.groupBy("ticker", BLOCK)).applyInPandas(
         block_statistics, "stats array<double>")
     summed = stats.select(F.posexplode("stats").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
@@ -287,8 +356,9 @@ def hmm_fit(
             np.array([g.mean.toArray() for g in parts]),
             np.array([g.cov.toArray() + _MIN_COVARIANCE * np.eye(d) for g in parts]), list(range(n_states)))
         history: list[float] = []
+        last = last_block(rows)
         for _ in range(max_iter):
-            loglik, better = _updated(model, _statistics(rows, model))
+            loglik, better = _updated(model, _statistics(rows, model, last))
             history.append(loglik)
             if len(history) > 1 and history[-1] - history[-2] < tol:
                 break

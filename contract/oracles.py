@@ -534,6 +534,39 @@ ORACLES: dict[str, str] = {
         select ticker, time, seq, row_number() over w - 1 as row_idx,
                {r('last_value(price ignore nulls) over (w rows unbounded preceding)', 'price')}
         from t window w as (partition by ticker order by time, seq)""",
+    "hmm_decode_given": f"""with recursive {BARS}, o as (
+            select ticker, time, ln(close / open) as x, row_number() over (partition by ticker order by time) as i,
+                   count(*) over (partition by ticker) as n from bars
+        ), e as materialized (
+            select *, exp(-0.5 * (x - 0.1) ** 2 / 0.05) / sqrt(2 * pi() * 0.05) as e1,
+                   exp(-0.5 * (x + 0.1) ** 2 / 0.3) / sqrt(2 * pi() * 0.3) as e2 from o
+        ), f as (
+            select ticker, i, 0.6 * e1 / (0.6 * e1 + 0.4 * e2) as a1, 0.4 * e2 / (0.6 * e1 + 0.4 * e2) as a2 from e where i = 1
+            union all
+            select ticker, i, u1 / (u1 + u2), u2 / (u1 + u2) from (
+                select e.ticker, e.i, (a1 * 0.9 + a2 * 0.2) * e1 as u1, (a1 * 0.1 + a2 * 0.8) * e2 as u2
+                from f join e on e.ticker = f.ticker and e.i = f.i + 1)
+        ), g as (
+            select ticker, i, 1::double as b1, 1::double as b2 from e where i = n
+            union all
+            select ticker, i - 1, w1 / (w1 + w2), w2 / (w1 + w2) from (
+                select e.ticker, e.i, 0.9 * e1 * b1 + 0.1 * e2 * b2 as w1, 0.2 * e1 * b1 + 0.8 * e2 * b2 as w2
+                from g join e on e.ticker = g.ticker and e.i = g.i where e.i > 1)
+        ), v as (
+            select ticker, i, ln(0.6) + ln(e1) as d1, ln(0.4) + ln(e2) as d2, 0 as p1, 0 as p2 from e where i = 1
+            union all
+            select e.ticker, e.i, greatest(d1 + ln(0.9), d2 + ln(0.2)) + ln(e1), greatest(d1 + ln(0.1), d2 + ln(0.8)) + ln(e2),
+                   if(d1 + ln(0.9) >= d2 + ln(0.2), 1, 2), if(d1 + ln(0.1) >= d2 + ln(0.8), 1, 2)
+            from v join e on e.ticker = v.ticker and e.i = v.i + 1
+        ), s as (
+            select v.ticker, v.i, if(d1 >= d2, 1, 2) as st from v join e on e.ticker = v.ticker and e.i = v.i where e.i = e.n
+            union all
+            select v.ticker, v.i - 1, if(st = 1, p1, p2) from s join v on v.ticker = s.ticker and v.i = s.i where s.i > 1
+        ), p as (
+            select e.ticker, e.time, if(st = 1, 1, 0)::int as label, a2 * b2 / (a1 * b1 + a2 * b2) as p0, a1 * b1 / (a1 * b1 + a2 * b2) as p1
+            from e join f using (ticker, i) join g using (ticker, i) join s using (ticker, i)
+        )
+        select ticker, time, label, {r('p0')}, {r('p1')}, {r('greatest(p0, p1)', 'confidence')} from p""",
     "regime_transitions": TRANSITIONS,
     "sliding_sequences": f"""with {BARS}, {NEAR}
         select ticker, time, 60::bigint as n_rows, 120::bigint as n_values,

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1111,6 +1112,20 @@ def hmm_fit_(spark, folder):
     return spark.createDataFrame(steps, "step int, loglik double")
 
 
+#: Two states over one feature, stated here and in the SQL.
+GIVEN_HMM = HmmModel(["move"], np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.1], [-0.1]]),
+                     np.array([[[0.05]], [[0.3]]]), [1, 0])
+
+
+@query
+def hmm_decode_given(spark, folder):
+    """Best path and posteriors of all bars under given parameters, in blocks that the tree scan has to put together."""
+    rows = views.bars(spark, folder).select("ticker", "time", F.log(F.col("close") / F.col("open")).alias("move"))
+    decoded = hmm_decode(rows, GIVEN_HMM, block_rows=32)
+    return rounded(decoded.select("ticker", "time", "label", F.get("hmm_prob", F.lit(0)).alias("p0"),
+                                  F.get("hmm_prob", F.lit(1)).alias("p1"), "confidence"))
+
+
 @query
 def hmm_decode_(spark, folder):
     return _labels(spark, folder).select("ticker", "time", "label", "hmm_prob")

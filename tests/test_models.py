@@ -51,6 +51,45 @@ def test_decode_matches_brute_force(spark, block_rows):
     assert stats[1:4] == pytest.approx(gamma[0]) and stats[4:13].sum() == pytest.approx(7)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_tree_scan_matches_brute_force(spark, monkeypatch, fan):
+    """Blocks of one row, scanned over several levels, and a second ticker of one block."""
+    monkeypatch.setattr(hmm, "FAN", fan)
+    test_decode_matches_brute_force(spark, 1)
+    m = model()
+    x = np.random.default_rng(1).normal(0, 2, (9, 2))
+    pdf = pd.DataFrame(x, columns=["x0", "x1"]).assign(ticker=["A"] * 8 + ["B"], time=pd.date_range("2024-01-01", periods=9))
+    df = spark.createDataFrame(pdf, "x0 double, x1 double, ticker string, time timestamp_ntz")
+    got = hmm.hmm_decode(df, m, 1).orderBy("ticker", "time").toPandas()
+    for ticker, own in (("A", x[:8]), ("B", x[8:])):
+        gamma, path, _ = brute_force(m, own)
+        mine = got[got.ticker == ticker]
+        assert np.allclose(np.stack(mine.hmm_prob)[:, m.regime_of], gamma)
+        assert mine.label.tolist() == [m.regime_of[s] for s in path]
+    assert hmm.hmm_decode(df.limit(0), m).count() == 0
+
+
+def test_many_blocks_of_one_ticker(spark):
+    """Ten thousand blocks of three rows: the same as one chain worked through in order."""
+    m = model()
+    x = np.random.default_rng(3).normal(0, 2, (30_000, 2))
+    pdf = pd.DataFrame(x, columns=["x0", "x1"]).assign(ticker="A", time=pd.date_range("2000-01-01", periods=len(x), freq="min"))
+    df = spark.createDataFrame(pdf, "x0 double, x1 double, ticker string, time timestamp_ntz").repartition(8)
+    rows = hmm.hmm_rows(df, m.features, 3)
+    ends = hmm._ends(rows, m, decode=True)
+    assert ends.count() == 10_000
+    whole = hmm.log_transfers(x, m, True)
+    k = len(m.start)
+    gamma, _ = hmm.forward_backward(whole, np.full(k, -np.log(k)), np.zeros(k), len(x))
+    d = hmm.entering(hmm.products(whole, True), np.zeros(k), True)
+    path = hmm.best_path(whole, np.zeros(k), int(d[-1].argmax()), len(x))
+    got = hmm.hmm_decode(df, m, 3).orderBy("time").toPandas()
+    assert np.allclose(np.stack(got.hmm_prob)[:, m.regime_of], gamma, atol=1e-9)
+    assert got.label.tolist() == [m.regime_of[s] for s in path]
+    assert sum(r.loglik for r in ends.select("loglik").collect()) == pytest.approx(
+        float(hmm.np.logaddexp.reduce(hmm.entering(hmm.products(whole, False), np.full(k, -np.log(k)), False)[-1])))
+
+
 def test_fit_on_random_data(spark):
     pdf = pd.DataFrame(np.random.default_rng(42).normal(size=(500, 4)), columns=["a", "b", "c", "d"])
     pdf["ticker"], pdf["time"] = "A", pd.date_range("2020-01-01", periods=500)
