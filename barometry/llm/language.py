@@ -9,14 +9,18 @@
   towards those of the corpus.
 
 Counts for the last three are grouped aggregates over all rows; hosts are joined, never gathered. A document
-is kept if its text is not blank, its best language has posterior ``MIN_POSTERIOR`` or more, and its trigrams
-have a mean log-likelihood of ``LEAST_LOGLIK`` or more under that language.
+is kept if its text is not blank, its best language has posterior ``MIN_POSTERIOR`` or more, and its text looks like that
+language: of ten trigrams or more at most the share ``MOST_UNSEEN`` is in fewer than two texts of its sample, and their mean log-likelihood
+lies no more than ``MOST_SPREADS`` spreads below that of the corpus' own texts in the language. The spread is that of
+texts around their language's mean, and for short texts that of single trigrams too. Both measures move with the fit, so a verdict does not hang
+on the size of the training sample.
 
 Null and blank texts are not kept; texts of one or two bytes have no text evidence. Null declarations, hosts and addresses are no
 evidence. Equal rows get equal results.
 """
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,15 @@ TEMPER = 0.1
 #: Counts that the level above stands for in a host's and a suffix's shares.
 SMOOTHING = 20.0
 MIN_POSTERIOR = 0.5
-#: Mean log-likelihood of a trigram below which a text is in no known language; evenly spread ones have -11.1.
-LEAST_LOGLIK = -13.5
+#: Share of trigrams foreign to a language's sample, above which a text of ``JUDGED_GRAMS`` or more is not in it.
+MOST_UNSEEN = 0.5
+JUDGED_GRAMS = 10
+#: Spreads that a text's mean log-likelihood may lie below its language's.
+MOST_SPREADS = 6.0
+#: Least spread of texts' means, spread of single trigrams, and trigrams of a text that counts for the means.
+LEAST_SPREAD = 0.25
+GRAM_SPREAD = 2.5
+TYPICAL_GRAMS = 100
 #: Probability that a page with a country suffix is in one of the country's languages.
 SUFFIX_TRUST = 0.8
 # Country suffixes and their main language.
@@ -67,12 +78,21 @@ def declared_in(html: Column) -> Column:
     return F.when(found != "", found)
 
 
-def train(df: DataFrame, text: str, label: str, languages: tuple[str, ...]) -> np.ndarray:
-    """Log-probabilities of trigram buckets, one row per language.
+class Model(NamedTuple):
+    """One row per language, one column per trigram bucket."""
+
+    loglik: np.ndarray  # log-probability
+    common: np.ndarray  # whether two texts of the sample or more hold it: a text is no evidence for itself
+
+
+def train(df: DataFrame, text: str, label: str, languages: tuple[str, ...]) -> Model:
+    """The model of a sample of labelled rows.
 
     At most one row per language and bucket comes to the driver.
     """
-    known = df.where(F.col(label).isin(*languages))
+    # Copies of a text count once: neither the bound nor the model hangs on how often a text is repeated.
+    known = df.where(F.col(label).isin(*languages)).select(F.col(label), F.col(text)).withColumn(
+        "_h", F.xxhash64(text)).dropDuplicates([label, "_h"])
     have = {r[0]: r[1] for r in known.groupBy(label).count().collect()}  # one row per language
     share = F.lit(0.0)
     for language, n in have.items():
@@ -83,42 +103,58 @@ def train(df: DataFrame, text: str, label: str, languages: tuple[str, ...]) -> n
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
+        texts = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             for language, data in zip(batch.column("label").to_pylist(), as_bytes(batch.column("text"))):
                 if data and len(data) >= 3:
-                    total[index[language]] += np.bincount(trigrams(data), minlength=BUCKETS)
+                    often = np.bincount(trigrams(data), minlength=BUCKETS)
+                    total[index[language]] += often
+                    texts[index[language]] += often > 0
         row, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row * BUCKETS + bucket), pa.array(total[row, bucket])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row * BUCKETS + bucket), pa.array(total[row, bucket]), pa.array(texts[row, bucket])], ["cell", "n", "texts"])
 
-    cells = arrow_batches(sample).mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counted = np.zeros(len(languages) * BUCKETS)
+    cells = arrow_batches(sample).mapInArrow(tally, "cell bigint, n bigint, texts bigint").groupBy("cell").agg(
+        F.sum("n").alias("n"), F.sum("texts").alias("texts")).toArrow()
+    counted, held = np.zeros(len(languages) * BUCKETS), np.zeros(len(languages) * BUCKETS)
     counted[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    held[cells.column("cell").to_numpy()] = cells.column("texts").to_numpy()
     counted = counted.reshape(len(languages), BUCKETS) + 0.5
-    return np.log(counted / counted.sum(1, keepdims=True))
+    return Model(np.log(counted / counted.sum(1, keepdims=True)), held.reshape(len(languages), BUCKETS) >= 2)
 
 
-def score(df: DataFrame, model: np.ndarray, text: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with ``_grams`` and ``_loglik`` (log-likelihood of the text by language)."""
+def score(df: DataFrame, model: Model, text: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``_grams``, ``_loglik`` (log-likelihood of the text by language) and ``_unseen`` (trigrams that
+    fewer than two texts of each language's sample hold)."""
     # A bucket's log-probabilities lie together; the model has a fixed size.
-    shared = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.T))
+    shared = df.sparkSession.sparkContext.broadcast(
+        (np.ascontiguousarray(model.loglik.T), np.ascontiguousarray(~model.common.T)))
 
     def make():
-        table = shared.value
+        table, rare = shared.value
 
         def work(texts):
-            grams, out = [], []
+            grams, out, strange = [], [], []
             for data in as_bytes(texts):
                 total, n = np.zeros(table.shape[1]), max(0, len(data or b"") - 2)
+                unseen = np.zeros(table.shape[1], np.int64)
                 for at in range(0, n, 1 << 20):
                     part = trigrams(data[at:at + (1 << 20) + 2])
-                    total += np.bincount(part, minlength=BUCKETS) @ table if len(part) > 20_000 else table[part].sum(0)
+                    if len(part) > 20_000:
+                        often = np.bincount(part, minlength=BUCKETS)
+                        total += often @ table
+                        unseen += often @ rare
+                    else:
+                        total += table[part].sum(0)
+                        unseen += rare[part].sum(0)
                 grams.append(n if data and data.strip() else -1)
                 out.append(total.tolist())
-            return [grams, out]
+                strange.append(unseen.tolist())
+            return [grams, out, strange]
 
         return work
 
-    return add_columns(df, [text], {"_grams": "bigint", "_loglik": "array<double>"}, make, drop)
+    return add_columns(df, [text], {"_grams": "bigint", "_loglik": "array<double>", "_unseen": "array<bigint>"}, make, drop)
 
 
 def best(scores: Column, languages: tuple[str, ...]) -> Column:
@@ -163,6 +199,13 @@ def language_id(df: DataFrame, text: str = "text", declared: str | None = None,
     said = {d: [(pairs.get((d, x), 0) + 1) / (sum(pairs.get((e, x), 0) for e in languages) + len(languages)) for x in languages]
             for d in languages}
 
+    # What the texts of each language look like: at most one row per language.
+    by_text = best(F.col("_loglik"), languages)
+    own_texts = narrow.where(F.col("_grams") >= TYPICAL_GRAMS).where(F.coalesce(F.col("_declared") == by_text, F.lit(True)))
+    mean = F.array_max("_loglik") / F.col("_grams")
+    typical = {r[0]: (r[1], max(LEAST_SPREAD, r[2] or 0.0)) for r in own_texts.groupBy(by_text.alias("l")).agg(
+        F.avg(mean), F.stddev_pop(mean)).collect()}
+
     base = narrow if not keep_text else score(evidence, model, text)
     joined = base.join(hosts, F.col("_host") == F.col("_h"), "left")
 
@@ -180,9 +223,16 @@ def language_id(df: DataFrame, text: str = "text", declared: str | None = None,
         + table(F.col("_suffix"), country, i) for i in range(len(languages))])
     out = joined.withColumn("_fused", fused)
     confidence = 1 / F.aggregate("_fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("_fused")))
-    own = F.get("_loglik", (F.array_position("_fused", F.array_max("_fused")) - 1).cast("int"))
+    at = (F.array_position("_fused", F.array_max("_fused")) - 1).cast("int")
+    n = F.greatest(F.col("_grams"), F.lit(1))
+    known = (n < JUDGED_GRAMS) | (F.get("_unseen", at) <= MOST_UNSEEN * n)
+    for i, x in enumerate(languages):
+        if x in typical:
+            centre, spread = typical[x]
+            least = centre - MOST_SPREADS * F.sqrt(F.lit(spread * spread) + GRAM_SPREAD * GRAM_SPREAD / n)
+            known = known & ((at != i) | (F.get("_loglik", at) / n >= least))
     return out.withColumns({
         "language": best(F.col("_fused"), languages), "confidence": confidence,
         "text_language": F.when(F.col("_grams") > 0, best(F.col("_loglik"), languages)),
-        "language_kept": (F.col("_grams") >= 0) & (confidence >= MIN_POSTERIOR) & (own >= F.col("_grams") * LEAST_LOGLIK),
-    }).drop("_declared", "_host", "_suffix", "_grams", "_loglik", "_h", "_prior", "_fused")
+        "language_kept": (F.col("_grams") >= 0) & (confidence >= MIN_POSTERIOR) & known,
+    }).drop("_declared", "_host", "_suffix", "_grams", "_loglik", "_unseen", "_h", "_prior", "_fused")

@@ -202,6 +202,47 @@ def test_language_held_out(spark):
     assert sum(language.LANGUAGES[int(np.argmax(r._loglik))] == r.lang for r in rest) > 0.97 * len(rest)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_foreign_and_noise_texts_go(spark, size):
+    """Rejected whatever the size of the fit; clean texts stay."""
+    rng = random.Random(8)
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text", "lang", "source")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    strange = ["これは日本語の文章です。言語を判定するためのものです。" * 4, "Это русский текст, который не должен остаться в корпусе. " * 4,
+               "Αυτό είναι ένα ελληνικό κείμενο για δοκιμή. " * 4, "这是一个用于测试的中文文本。" * 8,
+               " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 10))) for _ in range(120)),
+               "".join(chr(rng.randrange(33, 127)) for _ in range(600))]
+    extra = spark.createDataFrame([(-1 - i, t, lang, "src0") for i, t in enumerate(strange) for lang in ("en", "de", None)], docs.schema)
+    rows = language.language_id(docs.unionByName(extra), declared="lang", host="source").collect()
+    clean = [r for r in rows if r.doc_id >= 0]
+    assert not [r.text[:30] for r in rows if r.doc_id < 0 and r.language_kept]
+    assert sum(r.language_kept for r in clean) >= 0.99 * len(clean)
+
+
+def test_language_scores_are_those_of_plain_python(spark):
+    """Likelihood, unseen trigrams and fused posterior of a few texts, worked out in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = language.train(docs, "text", "lang", language.LANGUAGES)
+    rows = language.score(docs.where("doc_id < 12"), model, "text").collect()
+    counts, held = [Counter() for _ in language.LANGUAGES], [Counter() for _ in language.LANGUAGES]
+    seen = set()
+    for r in docs.collect():
+        data = (r.text or "").encode().lower()
+        if r.lang in language.LANGUAGES and (r.lang, r.text) not in seen:
+            seen.add((r.lang, r.text))
+            own = [((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 16 for i in range(len(data) - 2)]
+            counts[language.LANGUAGES.index(r.lang)].update(own)
+            held[language.LANGUAGES.index(r.lang)].update(set(own))
+    for r in rows:
+        data = (r.text or "").encode().lower()
+        buckets = [((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 16 for i in range(len(data) - 2)]
+        for k, c in enumerate(counts):
+            total = sum(c.values()) + 0.5 * language.BUCKETS
+            want = sum(np.log((c[b] + 0.5) / total) for b in buckets)
+            assert r._loglik[k] == pytest.approx(want, abs=1e-6 * max(1, len(buckets)))
+            assert r._unseen[k] == sum(held[k][b] < 2 for b in buckets)
+
+
 def test_language_fusion(spark, odd_docs, no_docs):
     """The declared language and the host decide where the text says nothing."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "lang", "concat('h-', lang, '.example') as host")
