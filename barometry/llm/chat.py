@@ -6,6 +6,7 @@ the attachments of the conversation from 0; the reference and the tokens it expa
 
 Control strings inside texts and roles get a backslash after their first character (one more where
 backslashes stand there already), so no control string is left and ``unescape`` gives back the text exactly.
+Texts are escaped after the parts of a turn are joined, so that parts next to each other form no control string either.
 
 Rows of a conversation are ordered by turn, then role and parts; repeated rows are turns of their own. Null roles and texts are
 empty; null parts and unknown kinds give nothing. Rows with a null conversation id form one conversation. One
@@ -27,6 +28,11 @@ PAGE_TOKENS = 1500
 _CONTROL = r"(/?(?:s>|INST\])|\|)"
 
 
+#: Stands for an attachment while the parts of a turn are joined; the same character in a text is doubled by ``TEXT_MARK``.
+MARK = "\u0001"
+TEXT_MARK, OPEN_MARK, CLOSE_MARK = MARK + "t", MARK + "o", MARK + "c"
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])(\\*)" + _CONTROL, r"$1\\$2$3")
 
@@ -73,13 +79,14 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
     def visit(p, i):
         kind = p["kind"]
         number = F.col("_first") + F.aggregate(F.slice(flags, 1, i), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-        return F.when(kind == "text", F.coalesce(escape(p["text"]), F.lit(""))).when(
-            kind.isin(*ATTACHMENTS), F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))).otherwise("")
-
-    # A turn of one text part, by far the most common, needs no numbers.
-    one = (F.size("_parts") == 1) & (F.col("_parts")[0]["kind"] == "text")
-    body = F.when(one, F.coalesce(escape(F.col("_parts")[0]["text"]), F.lit(""))).otherwise(
-        F.array_join(F.transform("_parts", visit), ""))
+        return F.when(kind == "text", F.coalesce(F.replace(p["text"], F.lit(MARK), F.lit(TEXT_MARK)), F.lit(""))).when(
+            kind.isin(*ATTACHMENTS),
+            F.concat(F.lit(OPEN_MARK), kind, F.lit(":"), number.cast("string"), F.lit(CLOSE_MARK))).otherwise("")
+
+    # No control string holds a mark, and every mark of a text is followed by its own letter.
+    body = escape(F.array_join(F.transform("_parts", visit), ""))
+    for mark, sign in ((OPEN_MARK, "<|"), (CLOSE_MARK, "|>"), (TEXT_MARK, MARK)):
+        body = F.replace(body, F.lit(mark), F.lit(sign))
     head = F.concat(F.lit("<s>"), escape(F.col("_role")), F.lit("[INST] "))
     rows = rows.withColumn("_head", head).withColumn("_body", body)
     rows = rows.withColumn("_piece", F.concat("_head", "_body", F.lit(" [/INST]</s>")))
@@ -105,8 +112,8 @@ def read_turns(formatted: Column) -> Column:
 
     def read(piece):
         at = F.split(piece, r"\[INST\] ", 2)
-        return F.struct(unescape(F.substring(at[0], 4, 1 << 30)).alias("role"),
-                        unescape(F.substring_index(at[1], " [/INST]", 1)).alias("text"))
+        return F.struct(unescape(F.substring(F.get(at, F.lit(0)), 4, 1 << 30)).alias("role"),
+                        unescape(F.substring_index(F.get(at, F.lit(1)), " [/INST]", 1)).alias("text"))
 
     return F.transform(pieces, read)
 
