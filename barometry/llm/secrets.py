@@ -1,14 +1,16 @@
 """Secret scan: fixed patterns, and tokens that pass a battery of randomness tests.
 
 Base spans are password, token and key assignments, access keys and long hexadecimal numbers. Besides, every run of at least
-``MIN_TOKEN`` token characters is a candidate. Its encoding is inferred from its characters, and three
-statistics are taken over that alphabet: chi-squared distance from uniform use of the alphabet, the number of
-runs of lower case, upper case, digits and signs, and the correlation of neighbouring characters.
+``MIN_TOKEN`` token characters with letters and digits, or ``MIN_LETTERS`` with letters, is a candidate. Its encoding is the
+smallest alphabet that holds its characters, and four statistics are taken over that alphabet: chi-squared distance
+from uniform use of the alphabet, the number of runs of lower case, upper case, digits and signs, the number of runs of
+vowels and consonants inside stretches of letters, and the correlation of neighbouring characters.
 
 A candidate is found when
-* it is consistent with randomness: none of the three tests rejects it at ``REJECT`` (each at a third), and
+* it is consistent with randomness: none of the four tests rejects it at ``REJECT`` (each at a quarter), and
 * it is unlikely as ordinary text: the combined probability that words of this length use the alphabet as
-  evenly and change class as often stays below the threshold of its length class.
+  evenly, change class as often and alternate between vowels and consonants as seldom stays below the threshold of
+  its length class.
 
 The thresholds control the share of false discoveries at ``FDR`` (Benjamini-Hochberg) over all candidates of
 the corpus, apart for each length class, since short tokens carry little evidence. Only counts of probabilities
@@ -25,24 +27,35 @@ from barometry.session import written
 ASSIGN = r"""((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_TOKEN = 20
+MIN_TOKEN = 12
+#: Without digits a run has no changes between letters and digits to judge it by, and needs more characters.
+MIN_LETTERS = 20
 REJECT = 0.001
 FDR = 0.01
-#: Length classes: below the first, below the second, the rest.
-LENGTH_CLASSES = (32, 64)
+#: Length classes: below the first, below the second and so on, the rest.
+LENGTH_CLASSES = (20, 32, 64)
 BINS = 3000
 
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # Encodings in the order in which they are tried: name, pattern, alphabet, unevenness of ordinary text in it
 # (alphabet size times the sum of squared shares, less 1).
 ENCODINGS = [
-    ("hex", "^[0-9a-f]+$", "0123456789abcdef", 1.0),
-    ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF", 1.0),
-    ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
-    ("base36", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.36),
-    ("base64", "^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.8),
+    ("hex", "^[0-9a-f]+$", DIGITS + "abcdef", 1.0),
+    ("HEX", "^[0-9A-F]+$", DIGITS + "ABCDEF", 1.0),
+    ("lower", "^[a-z]+$", LOWER, 0.7),
+    ("upper", "^[A-Z]+$", UPPER, 0.7),
+    ("base32", "^[A-Z2-7]+$", UPPER + "234567", 1.1),
+    ("base36", "^[0-9a-z]+$", DIGITS + LOWER, 1.36),
+    ("BASE36", "^[0-9A-Z]+$", DIGITS + UPPER, 1.36),
+    ("letters", "^[A-Za-z]+$", UPPER + LOWER, 2.2),
+    ("base62", "^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 2.7),
+    ("base64", "^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/", 2.8),
 ]
 #: Share of neighbours in ordinary identifiers that differ in class.
 WORD_CHANGES = 0.15
+#: Share of neighbouring letters of which one is a vowel: in words, and among letters drawn alike (2 * 5/26 * 21/26).
+WORD_VOWELS = 0.58
+RANDOM_VOWELS = 210 / 676
 
 
 def normal_cdf(z: Column) -> Column:
@@ -64,82 +77,181 @@ def find_all(text: Column, pattern: str, may: Column) -> Column:
     empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string,value:string>>")
     pieces = F.arrays_zip(take(1).alias("gap"), take(2).alias("match"), take(3).alias("value"))
 
-    def add(found, p):
-        last = F.coalesce(F.try_element_at(found, F.lit(-1))["end"], F.lit(0).cast("long"))
-        start = last + F.length(p["gap"])
-        row = F.struct(start.alias("start"), (start + F.length(p["match"])).alias("end"), p["match"].alias("match"),
-                       p["value"].alias("value"))
-        return F.concat(found, F.array(row))
-
-    return F.when(may, F.aggregate(pieces, empty, add)).otherwise(empty)
-
-
-def statistics(token: Column) -> Column:
-    """Of a candidate: encoding, and the probabilities of the tests and of ordinary text."""
-    bare = F.rtrim(token, F.lit("="))
-    branches = None
-    for name, pattern, alphabet, uneven in ENCODINGS:
-        value = F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), F.lit(uneven).alias("uneven"))
-        # The URL-safe signs stand for those of the usual alphabet.
-        branches = F.when(bare.rlike(pattern), value) if branches is None else branches.when(bare.rlike(pattern), value)
-
-    def with_encoding(e):
-        m = F.length(e["alphabet"]).cast("double")
-        plain = F.translate(bare, "-_", "+/")
-        n = F.length(plain).cast("double")
-        counts = F.transform(F.split(e["alphabet"], ""), lambda c: F.length(plain) - F.length(F.replace(plain, c, F.lit(""))))
-        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c.cast("double") * c)
-        chi = m / n * squares - n
-        letters = F.split(plain, "")
-        index = F.transform(letters, lambda c: F.position(c, e["alphabet"]).cast("double"))
-        kind = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "")
-        size = F.length(plain)
-        pairs = lambda xs, f: F.zip_with(F.slice(xs, 1, size - 1), F.slice(xs, 2, size - 1), f)
-        changes = F.aggregate(pairs(kind, lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
-        return F.struct(e["name"].alias("name"), m.alias("m"), n.alias("n"), chi.alias("chi"), e["uneven"].alias("uneven"),
-                        index.alias("index"), changes.cast("double").alias("changes"),
-                        F.array_distinct(kind).alias("kinds"), kind.alias("kind"))
-
-    return F.transform(F.array(branches), with_encoding)[0]
-
-
-def judged(candidate: Column) -> Column:
-    """A candidate span with its encoding, length class, whether the battery accepts it as random, and its bin."""
-    start, end = candidate["start"], candidate["end"]
-
-    def judge(s):
-        m, n = s["m"], s["n"]
-        # Uniform use of the alphabet: Wilson and Hilferty's cube root turns chi-squared into a normal number.
-        df = m - 1
-        uniform = (F.pow(s["chi"] / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        # Runs: neighbours differ in class as often as the shares of the classes make expect.
-        same = F.aggregate(s["kinds"], F.lit(0.0), lambda a, k: a + F.pow(
-            F.size(F.filter(s["kind"], lambda x: x == k)) / n, F.lit(2)))
-        expected = (n - 1) * (1 - same)
-        runs = (s["changes"] - expected) / F.sqrt(F.greatest(expected * same, F.lit(0.25)))
-        # Neighbouring characters: correlation of their places in the alphabet.
-        mean = F.aggregate(s["index"], F.lit(0.0), lambda a, x: a + x) / n
-        size = F.size(s["index"])
-        covered = F.aggregate(
-            F.zip_with(F.slice(s["index"], 1, size - 1), F.slice(s["index"], 2, size - 1), lambda a, b: (a - mean) * (b - mean)),
-            F.lit(0.0), lambda a, x: a + x)
-        spread = F.aggregate(s["index"], F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        serial = F.when(spread > 0, (covered / spread + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n) * 9)
-        level = F.lit(REJECT / 3)
-        random = ((1 - normal_cdf(uniform) >= level) & (2 * (1 - normal_cdf(F.abs(runs))) >= level)
-                  & (2 * (1 - normal_cdf(F.abs(serial))) >= level))
-        # Ordinary text: noncentral chi-squared for the alphabet, binomial changes of class.
-        excess = n * s["uneven"]
-        even = normal_cdf((s["chi"] - (df + excess)) / F.sqrt(2 * (df + 2 * excess)))
-        often = normal_cdf((WORD_CHANGES * (n - 1) - s["changes"]) / F.sqrt(WORD_CHANGES * (1 - WORD_CHANGES) * (n - 1)))
-        both = F.greatest(even * often, F.lit(1e-300))
-        p = F.least(F.lit(1.0), both * (1 - F.log(both)))  # Fisher's combination of two
-        length_class = F.when(n < LENGTH_CLASSES[0], 0).when(n < LENGTH_CLASSES[1], 1).otherwise(2)
-        return F.struct(start.alias("start"), end.alias("end"), s["name"].alias("encoding"),
-                        length_class.alias("length_class"), random.alias("random"),
-                        F.least(F.lit(BINS), F.floor(-100 * F.log10(p)).cast("int")).alias("bin"))
-
-    return F.transform(F.array(statistics(candidate["match"])), judge)[0]
+    def place(p, end):
+        return F.struct((end - F.length(p["match"])).alias("start"), end.alias("end"), p["match"].alias("match"),
+                        p["value"].alias("value"))
+
+    def placed(found):
+        ends = running_sum(F.transform(found, lambda p: (F.length(p["gap"]) + F.length(p["match"])).cast("long")))
+        return F.zip_with(found, ends, place)
+
+    # One-element transforms bind what is used more than once.
+    return F.when(may, F.transform(F.array(pieces), placed)[0]).otherwise(empty)
+
+
+#: Terms of a running sum that are appended one by one; longer ones are cut into blocks of so many.
+SUM_BLOCK = 256
+
+
+def running_sum(terms: Column) -> Column:
+    """Running sums of an array of long numbers, by blocks, so that no array grows by one beyond a block's length."""
+    def grow(xs, before):
+        sums = F.aggregate(xs, F.array(before), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.slice(sums, 2, F.greatest(F.size(sums) - 1, F.lit(0)))
+
+    def total(xs):
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def by_blocks(xs):
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(SUM_BLOCK))
+        return F.transform(F.array(F.transform(firsts, lambda i: F.slice(xs, i, SUM_BLOCK))), join_blocks)[0]
+
+    def join_blocks(blocks):
+        before = F.concat(F.array(F.lit(0).cast("long")), grow(F.transform(blocks, total), F.lit(0).cast("long")))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), grow))
+
+    return F.transform(F.array(terms), by_blocks)[0]
+
+
+def count_below(spans: Column, field: str, value: Column) -> Column:
+    """How many of the spans, whose ``field`` ascends, have it below ``value``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (step <= F.size(spans) - at) & (F.get(spans, at + step - 1)[field] < value), at + step).otherwise(at))
+
+
+def apart(token: Column, spans: Column) -> Column:
+    """Whether the token overlaps none of ``spans``, which are in order and do not overlap each other."""
+    return (F.size(spans) == 0) | (
+        count_below(spans, "start", token["end"]) == count_below(spans, "end", token["start"] + 1))
+
+
+def pairs(xs: Column, size: Column, f) -> Column:
+    """``f`` of the neighbours of an array."""
+    return F.zip_with(F.slice(xs, 1, size - 1), F.slice(xs, 2, size - 1), f)
+
+
+PLACE = ("start", "end")
+
+
+def place(s: Column) -> list[Column]:
+    return [s[c].alias(c) for c in PLACE]
+
+
+def encoded(s: Column) -> Column:
+    """Of a candidate (start, end, match): its encoding, and its characters with their classes and sounds."""
+    bare = F.rtrim(s["match"], F.lit("="))
+    number = F.lit(-1)
+    for k, (_, pattern, _, _) in reversed(list(enumerate(ENCODINGS))):
+        number = F.when(bare.rlike(pattern), k).otherwise(number)
+    # The URL-safe signs stand for those of the usual alphabet.
+    return F.struct(*place(s), number.alias("encoding"), F.translate(bare, "-_", "+/").alias("plain"))
+
+
+def spelled(s: Column) -> Column:
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("alphabet"), F.lit(u).alias("uneven")) for n, _, a, u in ENCODINGS])
+    own = F.get(known, s["encoding"])
+    # Vowels are 1, other letters 0; all else splits the stretches of letters.
+    sound = F.translate(F.lower(s["plain"]), "aeioubcdfghjklmnpqrstvwxyz0123456789+/", "1" * 5 + "0" * 21 + "." * 12)
+    kind = F.translate(s["plain"], LOWER + UPPER + DIGITS, "a" * 26 + "A" * 26 + "0" * 10)
+    return F.struct(
+        *place(s), own["name"].alias("name"), own["uneven"].alias("uneven"), own["alphabet"].alias("alphabet"),
+        s["plain"].alias("plain"), F.length(s["plain"]).alias("size"), F.split(own["alphabet"], "").alias("signs"),
+        F.split(s["plain"], "").alias("letters"), F.split(kind, "").alias("kind"), F.split(sound, "").alias("sound"))
+
+
+def measured(e: Column) -> Column:
+    n, m = e["size"].cast("double"), F.size(e["signs"]).cast("double")
+    squares = F.aggregate(e["signs"], F.lit(0.0), lambda a, c: a + F.pow(
+        (e["size"] - F.length(F.replace(e["plain"], c, F.lit("")))).cast("double"), F.lit(2.0)))
+    index = F.transform(e["letters"], lambda c: F.position(c, e["alphabet"]).cast("double"))
+    changes = F.aggregate(pairs(e["kind"], e["size"], lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
+    spoken = F.array_compact(pairs(
+        e["sound"], e["size"], lambda a, b: F.when((a != ".") & (b != "."), (a != b).cast("int"))))
+    return F.struct(
+        *place(e), e["name"].alias("name"), m.alias("m"), n.alias("n"), (m / n * squares - n).alias("chi"),
+        e["uneven"].alias("uneven"), index.alias("index"), changes.cast("double").alias("changes"), spoken.alias("spoken"),
+        e["kind"].alias("kind"), F.array_distinct(e["kind"]).alias("kinds"), e["size"].alias("size"))
+
+
+def summed(s: Column) -> Column:
+    """The share of pairs of characters of one class, and the sums that the serial correlation takes."""
+    same = F.aggregate(s["kinds"], F.lit(0.0), lambda a, k: a + F.pow(
+        F.size(F.filter(s["kind"], lambda x: x == k)) / s["n"], F.lit(2.0)))
+    total = F.aggregate(s["index"], F.lit(0.0), lambda a, x: a + x)
+    square = F.aggregate(s["index"], F.lit(0.0), lambda a, x: a + x * x)
+    cross = F.aggregate(pairs(s["index"], s["size"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    turns = F.aggregate(s["spoken"], F.lit(0), lambda a, x: a + x)
+    return F.struct(
+        *place(s), *[s[c].alias(c) for c in ("name", "m", "n", "chi", "uneven", "changes")], same.alias("same"),
+        F.size(s["spoken"]).cast("double").alias("spoken"), turns.cast("double").alias("turns"),
+        (total / s["n"]).alias("mean"), square.alias("square"), cross.alias("cross"),
+        (F.get(s["index"], F.lit(0)) + F.element_at(s["index"], -1)).alias("ends"))
+
+
+def statistics(candidates: Column) -> Column:
+    """Of every candidate: encoding, and the counts and sums that the tests take."""
+    # Step by step, each over the whole array: what a step uses more than once is computed before it.
+    for step in (encoded, spelled, measured, summed):
+        candidates = F.transform(candidates, step)
+    return candidates
+
+
+def normal_numbers(s: Column) -> Column:
+    """The statistics as normal numbers: four of randomness, three of ordinary text."""
+    m, n, df = s["m"], s["n"], s["m"] - 1
+    # Uniform use of the alphabet: Wilson and Hilferty's cube root turns chi-squared into a normal number.
+    uniform = (F.pow(s["chi"] / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    # Runs: neighbours differ in class as often as the shares of the classes make expect.
+    expected = (n - 1) * (1 - s["same"])
+    runs = (s["changes"] - expected) / F.sqrt(F.greatest(expected * s["same"], F.lit(0.25)))
+    # Runs of vowels. Hexadecimal letters are two vowels of six: theirs say nothing.
+    sounds = F.when((m == 16) | (s["spoken"] == 0), 0.0).otherwise(
+        (s["turns"] - RANDOM_VOWELS * s["spoken"]) / F.sqrt(F.greatest(
+            RANDOM_VOWELS * (1 - RANDOM_VOWELS) * s["spoken"], F.lit(0.1))))
+    # Neighbouring characters: correlation of their places in the alphabet.
+    spread = s["square"] - n * s["mean"] * s["mean"]
+    covered = s["cross"] - s["mean"] * (2 * n * s["mean"] - s["ends"]) + (n - 1) * s["mean"] * s["mean"]
+    serial = F.when(spread > 0, (covered / spread + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n) * 9)
+    # Ordinary text: noncentral chi-squared for the alphabet, binomial changes of class and of vowels.
+    excess = n * s["uneven"]
+    even = (s["chi"] - (df + excess)) / F.sqrt(2 * (df + 2 * excess))
+    often = (WORD_CHANGES * (n - 1) - s["changes"]) / F.sqrt(WORD_CHANGES * (1 - WORD_CHANGES) * (n - 1))
+    seldom = F.when(s["spoken"] == 0, 9.0).otherwise((s["turns"] + 0.5 - WORD_VOWELS * s["spoken"]) / F.sqrt(F.greatest(
+        WORD_VOWELS * (1 - WORD_VOWELS) * s["spoken"], F.lit(0.1))))
+    return F.struct(*place(s), s["name"].alias("name"), n.alias("n"),
+                    F.array(uniform, F.abs(runs), F.abs(sounds), F.abs(serial), even, often, seldom).alias("z"))
+
+
+def probabilities(s: Column) -> Column:
+    return F.struct(*place(s), s["name"].alias("name"), s["n"].alias("n"), F.transform(s["z"], normal_cdf).alias("p"))
+
+
+def tested(s: Column) -> Column:
+    level, p = REJECT / 4, s["p"]
+    random = 1 - p[0] >= level
+    for k in (1, 2, 3):
+        random = random & (2 * (1 - p[k]) >= level)
+    return F.struct(*place(s), s["name"].alias("name"), s["n"].alias("n"), random.alias("random"),
+                    F.log(F.greatest(p[4] * p[5] * p[6], F.lit(1e-300))).alias("log"))
+
+
+def binned(s: Column) -> Column:
+    # Fisher's combination of three.
+    p = F.least(F.lit(1.0), F.exp(s["log"]) * (1 - s["log"] + s["log"] * s["log"] / 2))
+    length_class = F.lit(0)
+    for least in LENGTH_CLASSES:
+        length_class = length_class + (s["n"] >= least).cast("int")
+    return F.struct(*place(s), s["name"].alias("encoding"), length_class.alias("length_class"), s["random"].alias("random"),
+                    F.least(F.lit(BINS), F.floor(-100 * F.log10(p)).cast("int")).alias("bin"))
+
+
+def judged(candidates: Column) -> Column:
+    """Candidate spans with their encoding, length class, whether the battery accepts them as random, and their bin."""
+    judgement = statistics(candidates)
+    for step in (normal_numbers, probabilities, tested, binned):
+        judgement = F.transform(judgement, step)
+    return judgement
 
 
 def thresholds(candidates: DataFrame) -> dict[int, int]:
@@ -172,11 +284,11 @@ def secret_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         find_all(t, "(()[0-9a-f]{32,})", t.rlike("[0-9a-f]{32}")).alias("hex"),
         find_all(t, "(()[A-Za-z0-9+/_-]{%d,}={0,2})" % MIN_TOKEN, t.rlike("[A-Za-z0-9+/_-]{%d}" % MIN_TOKEN)).alias("tokens"))
     base = F.sort_array(F.concat(spans(F.col("assign"), "assign"), spans(F.col("access"), "access"), spans(F.col("hex"), "hex")))
-    # Plain numbers and plain words carry too little; what a base span covers is found already.
-    mixed = F.filter("tokens", lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))
-    order = found.select(doc_id, base.alias("_base"), mixed.alias("_mixed"))
-    fresh = F.filter("_mixed", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    narrow = written(order.select(doc_id, "_base", F.transform(fresh, judged).alias("_tokens")), "secrets")
+    # Plain numbers and short words carry too little; what a base span covers is found already.
+    mixed = F.filter("tokens", lambda m: m["match"].rlike("[A-Za-z]") & (
+        m["match"].rlike("[0-9]") | (F.length(m["match"]) >= MIN_LETTERS)) & apart(m, F.col("assign"))
+        & apart(m, F.col("access")) & apart(m, F.col("hex")))
+    narrow = written(found.select(doc_id, base.alias("_base"), judged(mixed).alias("_tokens")), "secrets")
     lowest = thresholds(narrow.select(F.inline("_tokens")))
 
     def is_found(c):

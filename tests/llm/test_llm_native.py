@@ -1,9 +1,12 @@
 """Native operators and the Jaccard join, against plain Python versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import string
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -54,6 +57,80 @@ def test_random_tokens_among_words(spark):
     assert hit <= random_ids and len(hit) >= 0.9 * len(random_ids)
 
 
+#: Identifiers made of words: none of them is random.
+WORDS = ("get set user name table index value config server client request response handler factory service manager buffer stream "
+         "context session account payment invoice customer product catalog search filter version update delete create insert select "
+         "document paragraph sentence language model training evaluation benchmark dataset partition shuffle broadcast").split()
+ALPHABETS = {"hex": string.digits + "abcdef", "base32": string.ascii_uppercase + "234567", "base36": string.digits + string.ascii_lowercase,
+             "BASE36": string.digits + string.ascii_uppercase, "lower": string.ascii_lowercase, "upper": string.ascii_uppercase,
+             "letters": string.ascii_letters, "base62": string.ascii_letters + string.digits,
+             "base64": string.ascii_letters + string.digits + "+/"}
+
+
+def identifier(rng):
+    picked = [rng.choice(WORDS) for _ in range(rng.randint(3, 7))]
+    style = rng.randrange(4)
+    text = ("_".join(picked) if style == 0 else "".join(w.capitalize() for w in picked) if style == 1
+            else "/".join(picked) if style == 2 else "_".join(picked).upper())
+    return text + (str(rng.randrange(100)) if rng.random() < 0.5 else "")
+
+
+def recall_by_length(spark, encoding, lengths, n=50, words=1000):
+    """Found shares by length, and the number of identifiers that were taken for secrets."""
+    rng = random.Random(encoding)
+    rows = [(i, identifier(rng)) for i in range(words)]
+    rows += [(words + k * n + i, "".join(rng.choice(ALPHABETS[encoding]) for _ in range(size))) for k, size in enumerate(lengths) for i in range(n)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.concat(F.lit("see "), "text", F.lit(" here")))
+    spans = secrets.secret_scan(made).where(F.size("spans") > 0).select("doc_id").collect()
+    hits = Counter((r.doc_id - words) // n if r.doc_id >= words else -1 for r in spans)
+    return {size: hits[k] / n for k, size in enumerate(lengths)}, hits[-1]
+
+
+@pytest.mark.parametrize("encoding", ["base32", "BASE36", "letters", "base62", "base64"])
+def test_secret_recall(spark, encoding):
+    recall, false = recall_by_length(spark, encoding, (32, 64, 120))
+    assert min(recall.values()) >= 0.9 and false <= 3, (recall, false)
+
+
+def plain_battery(token):
+    """Encoding name, chi-squared, changes of class, letter pairs and how many of them alternate."""
+    bare = token.rstrip("=")
+    name, _, alphabet, _ = next(e for e in secrets.ENCODINGS if re.search(e[1], bare))
+    plain = bare.replace("-", "+").replace("_", "/")
+    n, m = len(plain), len(alphabet)
+    chi = m / n * sum(plain.count(c) ** 2 for c in alphabet) - n
+    kind = [("a" if c in string.ascii_lowercase else "A" if c in string.ascii_uppercase else "0" if c in string.digits else c) for c in plain]
+    letters = [(a, b) for a, b in zip(plain.lower(), plain.lower()[1:]) if a.isalpha() and b.isalpha()]
+    return (name, chi, sum(a != b for a, b in zip(kind, kind[1:])), len(letters), sum((a in "aeiou") != (b in "aeiou") for a, b in letters))
+
+
+def test_battery_against_plain(spark):
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randint(12, 90))) for a in ALPHABETS.values() for _ in range(10)]
+    tokens += ["aaaaaaaaaaaa1", "a-b_c-d_e-f_1", "abcABC123+/==", "1" * 30 + "b"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select(
+        "t", secrets.statistics(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("t").alias("match"))))[0].alias("s"))
+    for r in rows.collect():
+        name, chi, changes, spoken, turns = plain_battery(r.t)
+        assert (r.s.name, r.s.changes, r.s.spoken, r.s.turns) == (name, changes, spoken, turns), r.t
+        assert r.s.chi == pytest.approx(chi)
+
+
+def test_running_sum(spark):
+    sizes = [0, 1, 2, 255, 256, 257, 512, 3000]
+    rows = spark.createDataFrame([([(7 * i) % 11 for i in range(n)],) for n in sizes], "xs array<long>")
+    for r in rows.select("xs", secrets.running_sum(F.col("xs")).alias("sums")).collect():
+        assert r.sums == list(itertools.accumulate(r.xs))
+
+
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"token=abcdefgh{i} word{i}withletters{i} " for i in range(50_000))
+    start = time.monotonic()
+    r = secrets.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(
+        secrets.span_text(F.col("base_spans")).alias("b")).first()
+    assert r.b == plain_secrets(text) and time.monotonic() - start < 60
+
+
 def test_normal_cdf(spark):
     zs = [-6, -3, -1.5, 0, 0.4, 2, 5]
     got = spark.createDataFrame([(float(z),) for z in zs], "z double").select(secrets.normal_cdf(F.col("z")).alias("p")).collect()
@@ -192,6 +269,38 @@ def test_chat_typed_parts(spark):
     assert r.attachment_tokens == 4555 and r.loss_spans == []
 
 
+def test_chat_splits_of_a_text(spark):
+    """However a text is cut into parts, it is read back, and only attachments leave placeholders."""
+    rng = random.Random(11)
+    pieces = ["<", "/s>", "s>", "|image:7|>", "[", "INST] ", "/INST]", "\\", "\x01", "\x01o", "\x01t", "c", " ", "|>", "é😀"]
+    part = lambda kind, text: {"kind": kind, "text": text, "ref": "r", "width": None, "height": None, "seconds": None, "pages": None}
+    rows = []
+    for k in range(300):
+        texts = [rng.choice(pieces) for _ in range(rng.randint(1, 12))]
+        parts = [part("image", None) if rng.random() < 0.15 else part("text", t) for t in texts]
+        rows.append((k, 0, "assistant", parts))
+    chats = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PART_ARRAY}"))
+    got = chats.withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
+    for r in got:
+        n, want = itertools.count(), ""
+        for p in rows[r.conv_id][3]:
+            want += p["text"] if p["kind"] == "text" else f"\0{next(n)}\0"
+        marked = re.sub(r"<\|image:(\d+)\|>", "\0\\1\0", r.formatted)
+        body = marked[len("<s>assistant[INST] "):-len(" [/INST]</s>")]
+        assert re.sub(r"([<\[])\\(\\*)(/?(?:s>|INST\])|\|)", r"\1\2\3", body) == want
+        assert r.formatted.count("</s>") == 1 and len(r.turns) == 1
+        assert r.turns[0].text.count("<|image:") >= sum(p["kind"] == "image" for p in rows[r.conv_id][3])
+
+
+def test_chat_empty_table_and_clashing_names(spark):
+    none = spark.createDataFrame([], f"conv_id long, turn long, role string, parts {chat.PART_ARRAY}")
+    assert chat.format_chats(none).count() == 0
+    rows = spark.createDataFrame([(1, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    named = rows.withColumns({c: F.lit(0) for c in ("formatted", "loss_spans", "_body", "_conv", "_rows", "attachments")})
+    r = chat.format_chats(named.withColumn("parts", chat.text_parts(F.col("text")))).first()
+    assert r.formatted == "<s>assistant[INST] x [/INST]</s>" and r.loss_spans[0].length == 1
+
+
 # -- op6 ---------------------------------------------------------------------------------------------
 
 def test_mixing(spark, odd_docs, no_docs):
