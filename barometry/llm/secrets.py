@@ -53,6 +53,9 @@ ENCODINGS = [
 ]
 #: Share of neighbours in ordinary identifiers that differ in class.
 WORD_CHANGES = 0.15
+#: The same where letters have one case only: changes are those between letters and digits.
+ONE_CASE = ("hex", "HEX", "base32", "base36", "BASE36")
+ONE_CASE_CHANGES = 0.1
 #: Share of neighbouring letters of which one is a vowel: in words, and among letters drawn alike (2 * 5/26 * 21/26).
 WORD_VOWELS = 0.58
 RANDOM_VOWELS = 210 / 676
@@ -216,7 +219,8 @@ def normal_numbers(s: Column) -> Column:
     # Ordinary text: noncentral chi-squared for the alphabet, binomial changes of class and of vowels.
     excess = n * s["uneven"]
     even = (s["chi"] - (df + excess)) / F.sqrt(2 * (df + 2 * excess))
-    often = (WORD_CHANGES * (n - 1) - s["changes"]) / F.sqrt(WORD_CHANGES * (1 - WORD_CHANGES) * (n - 1))
+    share = F.when(s["name"].isin(*ONE_CASE), ONE_CASE_CHANGES).otherwise(WORD_CHANGES)
+    often = (share * (n - 1) - s["changes"]) / F.sqrt(share * (1 - share) * (n - 1))
     seldom = F.when(s["spoken"] == 0, 9.0).otherwise((s["turns"] + 0.5 - WORD_VOWELS * s["spoken"]) / F.sqrt(F.greatest(
         WORD_VOWELS * (1 - WORD_VOWELS) * s["spoken"], F.lit(0.1))))
     return F.struct(*place(s), s["name"].alias("name"), n.alias("n"),
