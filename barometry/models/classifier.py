@@ -1,5 +1,7 @@
 """Sequence classifier on windows of feature vectors, trained by Spark ML."""
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
@@ -8,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barometry.constants import LOOKBACK, N_STATES
+from barometry.session import written
 
 
 def as_vectors(sequences: DataFrame) -> DataFrame:
@@ -27,6 +30,59 @@ def fit_classifier(
     return Pipeline(stages=[scaler, network]).fit(as_vectors(sequences))
 
 
+@dataclass
+class Training:
+    """A fitted classifier, the held-out loss after each round, the round that it comes from, and why training ended."""
+    model: PipelineModel
+    losses: list[float]
+    best: int
+    reason: str
+
+
+def held_out_loss(scored: DataFrame) -> float | None:
+    """Mean negative log probability of the labels; none without rows."""
+    p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+    return scored.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-12))))).first()[0]
+
+
+def fit_with_early_stopping(
+    sequences: DataFrame, held_out: DataFrame, n_features: int, lookback: int = LOOKBACK, hidden: int = 16,
+    steps: int = 4, max_rounds: int = 50, patience: int = 10, least_gain: float = 1e-4, block_size: int = 64, seed: int = 42,
+) -> Training:
+    """Rounds of ``steps`` solver steps, each from the weights of the last, until the held-out loss stops falling.
+
+    Training ends after ``patience`` rounds in a row without a gain of ``least_gain`` over the best loss, or after
+    ``max_rounds``; the weights of the best round stay. Gradients and losses are summed over partitions. Without held-out
+    rows there is nothing to judge by: all rounds run, and the last stays. Both frames are scaled and written once.
+    """
+    scaler = StandardScaler(inputCol="window", outputCol="scaled", withMean=True, withStd=True).fit(as_vectors(sequences))
+
+    def scaled(df: DataFrame, name: str) -> DataFrame:
+        return written(scaler.transform(as_vectors(df)).select("scaled", F.col("label").cast("double").alias("label")), name)
+
+    train, valid = scaled(sequences, "train-windows"), scaled(held_out, "held-out-windows")
+    losses, best, least, weights, reason = [], 0, float("inf"), None, "rounds"
+    for step in range(max_rounds):
+        network = MultilayerPerceptronClassifier(
+            layers=[lookback * n_features, hidden, N_STATES], featuresCol="scaled", labelCol="label",
+            maxIter=steps, blockSize=block_size, seed=seed)
+        if weights is not None:
+            network.setInitialWeights(weights)
+        fitted = network.fit(train)
+        weights = fitted.weights
+        loss = held_out_loss(fitted.transform(valid))
+        if loss is None:
+            kept, best = fitted, step
+            continue
+        losses.append(loss)
+        if loss < least - least_gain:
+            kept, best, least = fitted, step, loss
+        elif step - best >= patience:
+            reason = "patience"
+            break
+    return Training(PipelineModel(stages=[scaler, kept]), losses, best, reason)
+
+
 def classify(model: PipelineModel, sequences: DataFrame) -> DataFrame:
     """Add ``seq_prob``, the four class probabilities."""
     scored = model.transform(as_vectors(sequences))

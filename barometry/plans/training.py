@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barometry.constants import (
     HMM_FEATURES, HMM_ITERATIONS, LOOKBACK, MIN_LABEL_CONFIDENCE, SEQUENCE_FEATURES, TRAIN_START,
 )
-from barometry.models.classifier import classify, fit_classifier
+from barometry.models.classifier import classify, fit_with_early_stopping
 from barometry.models.ensemble import align_predictions, ensemble_predict
 from barometry.models.hmm import HmmModel, hmm_decode, hmm_fit
 from barometry.models.sequences import (
@@ -53,7 +53,11 @@ def train_job(
     features: DataFrame, start: str = TRAIN_START, hmm_iterations: int = HMM_ITERATIONS,
     log_path: str | None = None, run_id: str = "run",
 ) -> tuple[Models, DataFrame]:
-    """Fit both models and return them with the validation accuracy as a one-row frame."""
+    """Fit both models and return them with the validation accuracy as a one-row frame.
+
+    The classifier stops by its loss on the windows of the validation rows; each of labels, windows and accuracy
+    is computed once and written.
+    """
     spark = features.sparkSession
     clean = written(prepare_training(features, start), "training-rows")
     split = time_split(clean).first().split_time
@@ -61,20 +65,24 @@ def train_job(
 
     hmm, history = hmm_fit(train, present(train, HMM_FEATURES), max_iter=hmm_iterations)
     labels = written(pseudo_labels(train, hmm), "pseudo-labels")
+    valid_labels = written(pseudo_labels(valid, hmm), "validation-labels")
     names = present(train, SEQUENCE_FEATURES)
     windows = labelled_sequences(train, confidence_filter(labels), names)
-    classifier = fit_classifier(windows, len(names))
+    held_out = labelled_sequences(valid, confidence_filter(valid_labels), names)
+    training = fit_with_early_stopping(windows, held_out, len(names))
 
-    valid_labels = pseudo_labels(valid, hmm)
-    scored = classify(classifier, sliding_sequences(valid, names).select("ticker", "time", "seq"))
+    scored = classify(training.model, sliding_sequences(valid, names).select("ticker", "time", "seq"))
     # The ensemble rounds its probabilities and keeps the label for the comparison.
     both = align_predictions(valid_labels.drop("confidence"), scored.drop("seq"))
-    accuracy = validation_accuracy(ensemble_predict(both))
-    models = Models(hmm, classifier, names)
+    accuracy = written(validation_accuracy(ensemble_predict(both)), "accuracy")
+    models = Models(hmm, training.model, names)
     if log_path:
         run_log(spark, log_path, run_id,
-                {"lookback": LOOKBACK, "train_start": start, "hmm_iterations": hmm_iterations},
-                {"log_likelihood": history[-1], "pseudo_label_kept_share": kept_share(
+                {"lookback": LOOKBACK, "train_start": start, "hmm_iterations": hmm_iterations, "n_features": len(names),
+                 "stop_reason": training.reason},
+                {"log_likelihood": history[-1], "hmm_steps": len(history), "rounds": len(training.losses),
+                 "best_round": training.best, "held_out_loss": min(training.losses, default=None),
+                 "pseudo_label_kept_share": kept_share(
                     labels, MIN_LABEL_CONFIDENCE).first().kept_share, "accuracy": accuracy.first().accuracy})
     return models, accuracy
 
