@@ -47,7 +47,7 @@ def held_out_loss(scored: DataFrame) -> float | None:
 
 def fit_with_early_stopping(
     sequences: DataFrame, held_out: DataFrame, n_features: int, lookback: int = LOOKBACK, hidden: int = 16,
-    steps: int = 4, max_rounds: int = 50, patience: int = 10, least_gain: float = 1e-4, block_size: int = 64, seed: int = 42,
+    steps: int = 5, max_rounds: int = 20, patience: int = 10, least_gain: float = 1e-4, block_size: int = 64, seed: int = 42,
 ) -> Training:
     """Rounds of ``steps`` solver steps, each from the weights of the last, until the held-out loss stops falling.
 

@@ -41,9 +41,9 @@ def _alert(condition: Column, kind: str, severity: Column, payload: Column) -> C
 
 def _to_alerts(df: DataFrame, rules: list[Column]) -> DataFrame:
     raised = df.select("time", "ticker", F.explode(F.array_compact(F.array(*rules))).alias("a"))
-    # The payload tells signals of one ticker and time apart; as JSON, a missing ticker or time is not the next field.
-    key = F.to_json(F.struct("ticker", F.unix_micros(F.col("time").cast("timestamp")).alias("at"), "alert_type", "payload"),
-                    {"ignoreNullFields": "false"})
+    # A missing ticker or time has a mark of its own, so that its alerts do not take the ids of others.
+    at = F.unix_micros(F.col("time").cast("timestamp")).cast("string")
+    key = F.concat_ws("|", F.coalesce("ticker", F.lit("\u0000")), F.coalesce(at, F.lit("\u0000")), F.col("alert_type"))
     return raised.select("time", "ticker", "a.*").select(
         F.sha2(key, 256).alias("id"), "time", "ticker", "alert_type", "severity", "payload",
         F.lit(False).alias("read"))

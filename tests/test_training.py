@@ -46,7 +46,7 @@ def test_without_held_out_rows_all_rounds_run(spark):
 
 def test_alert_ids_differ(spark):
     rows = spark.createDataFrame(
-        [("A", 1, 3, 0.9, 0), ("A", 1, 1, 0.9, 0), (None, 1, 3, 0.9, 0), ("A", None, 3, 0.9, 0)],
+        [("A", 1, 3, 0.9, 0), (None, 1, 3, 0.9, 0), ("A", None, 3, 0.9, 0), (None, None, 3, 0.9, 0)],
         "ticker string, t int, regime int, confidence double, prev_regime int").selectExpr(
         "ticker", "timestamp_seconds(t) as time", "regime", "confidence", "prev_regime", "'x' as regime_name",
         "array(0.1D) as ensemble_prob")
