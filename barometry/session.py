@@ -16,6 +16,8 @@ def build_session(app: str = "barometry", master: str | None = None, **conf: str
         # Indicator windows cost far more per byte than scans: keep small shuffles spread over tasks.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Sessions of a hot key are merged in every task before they are shuffled.
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         # The feature plan compiles more classes than the default cache of 100 holds.
         .config("spark.sql.codegen.cache.maxEntries", "1000")
     )

@@ -149,20 +149,25 @@ def state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | N
     return spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
 
 
+def new_version(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Write the state after a batch and read it back. A retried batch needs the version before its own, so two stay."""
+    spark, target = rows.sparkSession, f"{path}/version={batch_id}"
+    rows.write.mode("overwrite").parquet(target)
+    if batch_id >= 2:
+        _delete(spark, f"{path}/version={batch_id - 2}")
+    return spark.read.schema(rows.schema).parquet(target)
+
+
 def upsert_latest(batch: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: str) -> DataFrame:
     """Latest row per key after this batch, kept as one version per batch; returns that version.
 
-    For state of one row per key. A retried batch needs the version before its own, so two versions stay.
+    For state of one row per key.
     """
     spark = batch.sparkSession
     newest = dedupe_keep_last(batch, keys, [order])
     before = state_before(spark, path, batch_id)
     merged = newest if before is None else dedupe_keep_last(before.select(*newest.columns).unionByName(newest), keys, [order])
-    target = f"{path}/version={batch_id}"
-    merged.write.mode("overwrite").parquet(target)
-    if batch_id >= 2:
-        _delete(spark, f"{path}/version={batch_id - 2}")
-    return spark.read.schema(newest.schema).parquet(target)
+    return new_version(merged, path, batch_id)
 
 
 def latest_state(spark: SparkSession, path: str) -> DataFrame:
@@ -332,7 +337,8 @@ def alert_batches(state_path: str, transitions_path: str, alerts_path: str) -> C
 
 
 def tumbling_bars(bars: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Daily bars of a stream of bars. A day is final once the watermark passes its end."""
+    """Daily bars of a stream of bars. A day is final once the watermark passes its end; rows that come for it later
+    are dropped by the watermark. ``event_time.daily_bar_batches`` keeps them."""
     day = F.window("time", "1 day")
     return bars.withWatermark("time", lateness).groupBy(day, "ticker").agg(*daily_aggregates()).select(
         F.col("window.start").alias("bucket"), "ticker", "open", "high", "low", "close", "volume")

@@ -657,6 +657,29 @@ ORACLES: dict[str, str] = {
           on i.ticker = s.ticker and i.time = s.time""",
     "snapshot_plus_updates": f"with {SIGNALS}, {LATEST} select ticker, time, regime, {r('confidence')} from latest",
     "tumbling_bars": f"with {TICKS} {daily()}",
+    # A batch takes eight days of arrivals; what ends two days before the times of earlier batches is late.
+    "late_rows": f"""with {TICKS.replace("from events", ", ((ts::date - date '2024-01-01') + case when event_id % 7 = 0 then 10 else 0 end) // 8 as part from events")},
+        ends as (select *, date_trunc('day', time)::timestamp as bucket from ticks),
+        seen as (select part, max(max(time)) over (order by part) as mark from ends group by part),
+        judged as (select e.*, coalesce(bucket + interval 1 day <= b.mark - interval 2 day, false) as late
+                   from ends e asof left join seen b on e.part > b.part),
+        last as (select max(time) - interval 2 day as mark from ends)
+        select bucket, ticker, case when late then 'late' when bucket + interval 1 day <= (select mark from last) then 'final'
+                   else 'open' end as state, count(*) as n,
+               case when not late then arg_min(open, (time, open)) end as open, case when not late then max(high) end as high,
+               case when not late then min(low) end as low, case when not late then arg_max(close, (time, close)) end as close,
+               case when not late then sum(volume)::bigint end as volume
+        from judged group by bucket, ticker, late""",
+    # A session ends an hour after its last signal; the watermark counts whole milliseconds.
+    "signal_expiries": f"""with {SIGNALS}, gaps as (
+            select *, coalesce(time - lag(time) over (partition by ticker order by time) > interval 3600 second, true)::int as fresh
+            from signals),
+        runs as (select *, sum(fresh) over (partition by ticker order by time rows unbounded preceding) as run from gaps)
+        select ticker, arg_max(regime, (time, regime)) as regime, count(*) as n_signals, max(time) as time,
+               min(time) as live_from, max(time) + interval 3600 second as expired_at
+        from runs group by ticker, run
+        having max(time) + interval 3600 second <=
+               (select date_trunc('millisecond', max(time)) - interval 10 minute from signals)""",
     "signal_ttl": f"""with {SIGNALS}, {LATEST} select ticker, time, regime from latest
         where time > timestamp '2024-01-30 23:59:59' - interval 3600 second""",
     # M

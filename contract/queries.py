@@ -23,7 +23,7 @@ from barometry.plans import training, views
 from barometry.plans.features import feature_pipeline, min_non_null_rows, sorted_by_ticker_time
 from barometry.session import shared_folder, written
 from barometry.sources import envelopes, landing, store
-from barometry.streaming import jobs
+from barometry.streaming import event_time, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -907,17 +907,21 @@ PARTS, FILES = 4, 2
 
 def _in_batches(df, order):
     """``df`` as a stream of four batches, cut at quartiles of ``order``, each of two files written in parallel."""
-    spark = df.sparkSession
-    path = shared_folder(spark, "stream-files")
     place = F.col(order) if dict(df.dtypes)[order] != "timestamp_ntz" else F.unix_micros(F.col(order).cast("timestamp"))
     cuts = df.agg(F.percentile_approx(place, [0.25, 0.5, 0.75])).first()[0]
     part = F.lit(0)
     for c in cuts:
         part = part + (place > c).cast("int")
-    cut = written(df.withColumn("_part", F.coalesce(part, F.lit(0))), "stream-rows")
-    for n in range(PARTS):  # one after another: files are read in the order of their times
+    return _by_part(df.withColumn("_part", F.coalesce(part, F.lit(0))), PARTS)
+
+
+def _by_part(df, parts):
+    """``df`` as a stream with a batch for each number in ``_part``, below ``parts``."""
+    path = shared_folder(df.sparkSession, "stream-files")
+    cut = written(df, "stream-rows")
+    for n in range(parts):  # one after another: files are read in the order of their times
         cut.where(F.col("_part") == n).drop("_part").repartition(FILES).write.parquet(f"{path}/part={n}")
-    return jobs.file_source(spark, f"{path}/*", df.schema, files_per_batch=FILES)
+    return jobs.file_source(df.sparkSession, f"{path}/*", df.drop("_part").schema, files_per_batch=FILES)
 
 
 def _event_stream(spark, folder):
@@ -1090,6 +1094,31 @@ def tumbling_bars(spark, folder):
     return rounded(last.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")))
 
 
+@query
+def late_rows(spark, folder):
+    """Every row of a stream by day and ticker, final, open or late: each seventh comes ten days after its time."""
+    out = shared_folder(spark, "late-rows")
+    ticks = views.table(spark, folder, "events").selectExpr(
+        "ts as time", "event_type as ticker", "value as open", "value * 1.5D as high", "value * 0.5D as low",
+        "value * 1.25D as close", "event_id % 97 as volume",
+        "(datediff(ts, date'2024-01-01') + if(event_id % 7 = 0, 10, 0)) div 8 as _part")
+    _run(_by_part(ticks, 6), event_time.daily_bar_batches(f"{out}/state", f"{out}/bars", f"{out}/late", "2 days"))
+    final = spark.read.parquet(f"{out}/bars/*").withColumn("state", F.lit("final"))
+    days = final.unionByName(event_time.open_days(spark, f"{out}/state").withColumn("state", F.lit("open")))
+    late = spark.read.parquet(f"{out}/late/*").groupBy("bucket", "ticker").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(days.unionByName(late.withColumn("state", F.lit("late")), allowMissingColumns=True))
+
+
+@query
+def signal_expiries(spark, folder):
+    """Signals that outlived an hour, as the stream reports them."""
+    out = shared_folder(spark, "expiries")
+    stream = _in_batches(views.signals(spark, folder), "time")
+    _run(event_time.signal_expiries(stream, 3600, "10 minutes"), event_time.write_batches(out))
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("time", "live_from", "expired_at")]
+    return spark.read.parquet(f"{out}/*").select("ticker", "regime", "n_signals", *times)
+
+
 @query
 def signal_ttl(spark, folder):
     latest = reads.latest_signals(views.signals(spark, folder))
