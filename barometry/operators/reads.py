@@ -56,9 +56,14 @@ def regime_board(latest: DataFrame, by: str = "ticker") -> DataFrame:
 
 def bars_with_regime(bars: DataFrame, signals: DataFrame) -> DataFrame:
     """Bars with the last regime of their day, null where none was given."""
-    daily = signals.groupBy("ticker", F.to_date("time").alias("_date")).agg(
+    return with_regime_of_day(bars.withColumn("_date", F.to_date("time")), signals.withColumn("_date", F.to_date("time")), "_date")
+
+
+def with_regime_of_day(bars: DataFrame, signals: DataFrame, day: str = "day") -> DataFrame:
+    """The same where both sides hold their day: tables bucketed by (ticker, day) are read without an exchange."""
+    daily = signals.groupBy("ticker", day).agg(
         F.max_by("regime", F.struct("time", "seq") if "seq" in signals.columns else F.col("time")).alias("regime"))
-    return bars.withColumn("_date", F.to_date("time")).join(daily, ["ticker", "_date"], "left").drop("_date")
+    return bars.join(daily, ["ticker", day], "left").drop(day)
 
 
 def stitch_history(stored: DataFrame, live: DataFrame, lookback: int, margin: int = 10) -> DataFrame:

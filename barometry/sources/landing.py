@@ -1,8 +1,9 @@
 """From landed files to canonical rows: bars, macro observations, validation, date windows."""
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,3 +127,18 @@ def validate_records(df: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     checked = check_records(df, kind)
     bad = F.size("failed") > 0
     return checked.filter(~bad).drop("failed"), checked.filter(bad)
+
+
+def write_validated(df: DataFrame, kind: str, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Clean and quarantined rows as one table, written in one pass that also counts them.
+
+    Returns both parts and the figures: all rows, clean rows and the rows that break each rule. They are gathered in the
+    tasks that write the files, which count once even if a lost executor makes them run again.
+    """
+    checked = check_records(df, kind).withColumn("clean", F.size("failed") == 0)
+    figures = Observation(f"validated-{uuid.uuid4().hex}")
+    broken = [F.count_if(F.array_contains("failed", name)).alias(name) for name in _rules(kind)]
+    checked.observe(figures, F.count(F.lit(1)).alias("rows"), F.count_if("clean").alias("clean_rows"), *broken).write.mode(
+        "overwrite").partitionBy("clean").parquet(path)
+    stored = df.sparkSession.read.schema(checked.schema).parquet(path)
+    return stored.where("clean").drop("failed", "clean"), stored.where("not clean").drop("clean"), dict(figures.get)

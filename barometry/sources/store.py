@@ -59,6 +59,21 @@ class FeatureStore:
         return date_range(self.scan())
 
 
+def save_bucketed(
+    df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int, sort: Sequence[str] = ("time",)
+) -> DataFrame:
+    """Store ``df`` as a table in a fixed number of buckets by the hash of ``keys``, and return it.
+
+    Joins and groupings on exactly ``keys`` read it without an exchange; another table saved with as many buckets meets
+    it bucket by bucket. Each bucket is one sorted file, so filters on keys and ``sort`` skip row groups by
+    their statistics. ``keys`` should cut a hot ticker, as (ticker, day) does.
+    """
+    (
+        df.repartition(buckets, *keys)  # the hash of buckets, so a task holds one bucket
+        .write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, *sort).option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def date_range(df: DataFrame) -> DataFrame:
     return df.groupBy("ticker").agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"))
 

@@ -317,6 +317,14 @@ ORACLES: dict[str, str] = {
         select time, ticker, array_to_string(list_filter([
             {", ".join(f"case when not ({ok}) then '{name}' end" for name, ok in TICKER_RULES)}
             ], lambda x: x is not null), ',') as failed from dirty""",
+    "validation_figures": f"""with {BARS}, {STORED}, dirty as (
+            select open, case when volume % 5 = 0 then low / 2 else high end as high, low,
+                   case when volume % 7 = 0 then 0 else close end as close, volume - 20 as volume,
+                   case when volume % 11 = 0 then 'other' else source end as source from stored),
+        judged as (select *, {" and ".join(f"({ok})" for _, ok in TICKER_RULES)} as good from dirty)
+        select unnest(['rows', 'clean_rows', 'read_clean', 'read_quarantined', {", ".join(f"'{name}'" for name, _ in TICKER_RULES)}]) as name,
+               unnest([count(*), count(*) filter (good), count(*) filter (good), count(*) filter (not good),
+                       {", ".join(f"count(*) filter (not ({ok}))" for _, ok in TICKER_RULES)}]) as n from judged""",
     "landing_quarantine": f"""with {BARS}, {STORED}, {MACRO}, {MACRO_TABLE}, {CHAIN}, b as (
             select ticker, case when volume % 3 = 0 then -open else open end as open,
                    case when volume % 5 = 0 then low / 2 else high end as high, low, close, volume - 20 as volume,
@@ -439,6 +447,10 @@ ORACLES: dict[str, str] = {
             select ticker, time::date as day, arg_max(regime, (time, seq))::int as regime from bar_signals group by 1, 2)
         select b.ticker, b.time, {r('close')}, d.regime::double as regime from bars b
         left join by_day d on d.ticker = b.ticker and d.day = b.time::date""",
+    "bucketed_regimes": f"""with {BARS}, {BAR_SIGNALS}, by_day as (
+            select ticker, time::date as day, arg_max(regime, (time, seq))::int as regime from bar_signals group by 1, 2)
+        select b.ticker, b.time, {r('close')}, d.regime::double as regime from bars b
+        left join by_day d on d.ticker = b.ticker and d.day = b.time::date""",
     # D
     "pivot_macro": f"with {MACRO}, {NAMED}, {WIDE} select time, {rs(*MACRO_COLUMNS)} from wide",
     "bars_daily": f"with {TICKS} {daily()}",

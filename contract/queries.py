@@ -33,6 +33,8 @@ SIGNALS_AS_OF = "2024-01-20 12:00:00"
 TRAIN_FROM = "1990-01-01"  # the test bars end before the usual training start
 SMALL_TRAINING = 5         # EM steps where a query only needs some fitted model
 
+BUCKETS = 16               # of stored tables; choose some 200 MB a bucket
+
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,6 +172,19 @@ def validate_records(spark, folder):
     return both.select("time", "ticker", F.array_join("failed", ",").alias("failed"))
 
 
+@query
+def validation_figures(spark, folder):
+    """What was counted while dirty bars were written, next to what the two written parts hold."""
+    raw = views.stored_bars(spark, folder).selectExpr(
+        "time", "ticker", "open", "if(volume % 5 = 0, low / 2, high) as high", "low",
+        "if(volume % 7 = 0, 0D, close) as close", "volume - 20 as volume", "if(volume % 11 = 0, 'other', source) as source")
+    clean, bad, figures = landing.write_validated(raw, "bars", shared_folder(spark, "validated"))
+    counted = spark.createDataFrame([(k, int(v)) for k, v in figures.items()], "name string, n bigint")
+    read = [part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+            for name, part in (("read_clean", clean), ("read_quarantined", bad))]
+    return counted.unionByName(read[0]).unionByName(read[1])
+
+
 @query
 def landing_quarantine(spark, folder):
     """Rows of all three kinds that break a rule, with the rules they break."""
@@ -492,6 +507,18 @@ def bars_with_regime(spark, folder):
     return with_keys(df.withColumn("regime", F.col("regime").cast("double")), "close", "regime")
 
 
+@query
+def bucketed_regimes(spark, folder):
+    """The same join over stored tables that lie in buckets by ticker and day."""
+    tables = []
+    for name, rows in (("bars", views.bars(spark, folder)), ("signals", views.bar_signals(spark, folder))):
+        path = shared_folder(spark, f"bucketed-{name}")
+        tables.append(store.save_bucketed(
+            rows.withColumn("day", F.to_date("time")), path.rsplit("/", 1)[1].replace("-", "_"), path, ["ticker", "day"], BUCKETS))
+    df = reads.with_regime_of_day(*tables)
+    return with_keys(df.withColumn("regime", F.col("regime").cast("double")), "close", "regime")
+
+
 # -- D: aggregations -------------------------------------------------------------------------------------
 
 @query

@@ -118,3 +118,36 @@ def test_reads(spark, bars):
     stitched = reads.stitch_history(bars, live, 60)
     assert stitched.groupBy("ticker", "time").count().filter("count > 1").count() == 0
     assert stitched.filter("close = 0").count() == live.count()
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark):
+    days = spark.range(4000).selectExpr(
+        "if(id % 3 = 0, 'HOT', concat('T', id % 7)) as ticker", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) as time",
+        "cast(id as double) as close", "cast(id % 4 as int) as regime").withColumn("day", F.to_date("time"))
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    bars, signals = (store.save_bucketed(days.select("ticker", "day", "time", value), f"bucketed_{value}", f"{path}/{value}", ["ticker", "day"], 8)
+                     for value in ("close", "regime"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = reads.with_regime_of_day(bars, signals)
+        got = joined.collect()
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = reads.bars_with_regime(days.select("ticker", "time", "close"), days.select("ticker", "time", "regime")).collect()
+    assert sorted((r.ticker, r.time, r.close, r.regime) for r in got) == sorted((r.ticker, r.time, r.close, r.regime) for r in want)
+    sizes = [r[0] for r in bars.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) == 8 and max(sizes) < 4000 / 3  # the hot ticker lies in several buckets
+
+
+@pytest.mark.parametrize("n", [0, 6])
+def test_figures_counted_while_written(spark, n):
+    rows = [("a", 1.0, "yfinance", 5), ("b", -1.0, "yfinance", 5), (None, 1.0, "other", -5), ("c", None, None, None),
+            ("a", 1.0, "yfinance", 5), ("", 2.0, "polygon", 0)][:n]
+    df = spark.createDataFrame(rows, "ticker string, open double, source string, volume bigint").selectExpr(
+        "*", "open as high", "open as low", "open as close")
+    clean, bad, figures = landing.write_validated(df, "bars", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    assert (clean.count(), bad.count()) == (figures["clean_rows"], figures["rows"] - figures["clean_rows"]) == ((3, 3) if n else (0, 0))
+    marks = [m for r in bad.collect() for m in r.failed]
+    assert all(figures[name] == marks.count(name) for name in landing._rules("bars"))
