@@ -121,7 +121,8 @@ def group_files(s: np.ndarray, percent: int = PERCENT) -> list[tuple[np.ndarray,
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)])
         ends = np.append(starts[1:], n)
         key = np.arange(groups, dtype=np.uint64) * _ODD[2] + np.array([b], np.uint64) * _ODD[3]
-        keys = mix(mix(total[ends] - total[starts]) + key)
+        # The lowest bit tells an odd band from an even one: the same in both sets, whichever band is their own.
+        keys = mix(mix(total[ends] - total[starts]) + key) & ~np.uint64(1) | np.uint64(b & 1)
         filled = ends > starts
         own, empty = keys[filled], np.sort(keys[~filled])
         # Of more empty groups than it may forgo, a set files those of the smallest keys and keeps all it files.
@@ -226,7 +227,7 @@ def join_block(left: list, right: list | None = None, percent: int = PERCENT) ->
 
 
 def describe(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """id, set size, hash of the set and files of every row."""
+    """id, set size, hash of the set and files of every row; how many of even and of odd bands it may forgo."""
 
     def make():
         hashes = WordHashes()
@@ -239,11 +240,11 @@ def describe(df: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
                 for h, column in zip(set_hash(s), (h1, h2)):
                     column.append(h)
                 found = group_files(s, percent) if len(s) else []
-                # The lowest bit of a file tells the set's own band from the next one.
-                marked = [f & ~np.uint64(1) | np.uint64(k) for k, (f, _) in enumerate(found)]
-                files.append(signed(np.concatenate(marked)) if found else np.empty(0, np.int64))
-                for k, column in enumerate(spare):
-                    column.append(len(found[k][0]) - found[k][1] if k < len(found) else 0)
+                files.append(signed(np.concatenate([f for f, _ in found])) if found else np.empty(0, np.int64))
+                # Of two neighbouring bands one is even, the other odd.
+                may_forgo = {int(f[0]) & 1: len(f) - keep for f, keep in found}
+                for odd, column in enumerate(spare):
+                    column.append(may_forgo.get(odd, 0))
             offsets = np.concatenate([[0], np.cumsum(list(map(len, files)))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(files)))
             return [sizes, h1, h2, lists, *spare]
@@ -251,7 +252,7 @@ def describe(df: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
         return work
 
     return add_columns(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("_text")), ["_text"],
-                       {"n": "bigint", "h1": "bigint", "h2": "bigint", "files": "array<bigint>", "spare1": "int", "spare2": "int"},
+                       {"n": "bigint", "h1": "bigint", "h2": "bigint", "files": "array<bigint>", "spare_even": "int", "spare_odd": "int"},
                        make, ("_text",))
 
 
@@ -360,18 +361,18 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     real = sets.where("n > 0 and id is not null")
     classes = written(real.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "classes")
     # All rows of a class have the same files.
-    filing = F.max(F.struct("files", "spare1", "spare2")).alias("f")
+    filing = F.max(F.struct("files", "spare_even", "spare_odd")).alias("f")
     filings = written(whole.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), filing).select(
         "rep", "f.*"), "filings")
     discard(whole)
     filed = filings.select("rep", F.explode("files").alias("file"))
     shared = written(filed.groupBy("file").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "files")
     # Files are the heavier the more classes they hold. The heaviest of a class, as many as it may forgo, are left out.
-    second = F.col("file").bitwiseAND(F.lit(1))
-    hits = filed.join(shared, "file").join(filings.select("rep", "spare1", "spare2"), "rep").withColumn("second", second)
-    heavy = Window.partitionBy("rep", "second").orderBy(F.col("m").desc(), "file")
+    odd = F.col("file").bitwiseAND(F.lit(1))
+    hits = filed.join(shared, "file").join(filings.select("rep", "spare_even", "spare_odd"), "rep").withColumn("odd", odd)
+    heavy = Window.partitionBy("rep", "odd").orderBy(F.col("m").desc(), "file")
     light = written(hits.withColumn("nth", F.row_number().over(heavy)).where(
-        F.col("nth") > F.when(F.col("second") == 1, F.col("spare2")).otherwise(F.col("spare1"))).select("rep", "file", "m"), "light")
+        F.col("nth") > F.when(F.col("odd") == 1, F.col("spare_odd")).otherwise(F.col("spare_even"))).select("rep", "file", "m"), "light")
     discard(filings)
     ends = light.groupBy("file").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("file", "low")
     found = written(light.join(ends, "file").groupBy("rep", "low").agg(F.sum("m").alias("m")), "filed")

@@ -380,6 +380,20 @@ def test_jaccard_join(spark, monkeypatch, block, width, percent):
         jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), percent=50)
 
 
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_jaccard_join_across_bands(spark, width, percent):
+    """Two texts of which one is a few words longer link, also where a band of set sizes ends between them."""
+    docs = []
+    for end in jaccard.BANDS[(jaccard.BANDS > 4) & (jaccard.BANDS < 500)].tolist():
+        for size, less in ((end, 1), (end + 2, 3), (end + end // 25, end // 12)):
+            words = [f"p{len(docs)}x{k}" for k in range(size + width - 1)]
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(words[:len(words) - less]))]
+    expected = plain_components(docs, width, percent)
+    assert sum(c != i for i, (_, c) in expected.items()) >= 20
+    got = jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), width=width, percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+
+
 def test_jaccard_odd_rows(odd_docs, no_docs):
     rows = jaccard.jaccard_join(odd_docs).collect()
     assert len(rows) == odd_docs.count() and jaccard.jaccard_join(no_docs).count() == 0
