@@ -15,9 +15,12 @@ from barometry.operators.ordered import dedupe_keep_last
 _PRICES = ["Open", "High", "Low", "Close"]
 
 
-def read_landed(spark, path: str, kind: str = "csv") -> tuple[DataFrame, DataFrame]:
+def read_landed(spark, path: str, kind: str = "csv", split: bool = True) -> tuple[DataFrame, DataFrame] | DataFrame:
     """Landed price files with a fixed schema: readable rows, and unreadable ones as text with their file.
 
+    Each frame reads the files for itself. ``split=False`` gives one frame of all rows, for who needs both in one
+    pass: ``_corrupt`` holds the text of the unreadable ones and is null in the others, ``file`` names the file.
+
     Files are read line by line (``csv`` with the schema's order of columns, or ``json``), so either frame can be
     counted, filtered and joined like any other. Header lines and blank lines are no rows. A quoted line break is not supported.
     """
@@ -26,16 +29,17 @@ def read_landed(spark, path: str, kind: str = "csv") -> tuple[DataFrame, DataFra
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
     if kind == "csv":
-        names = F.split(F.regexp_replace(F.lower("value"), "[\"' \\r]", ""), ",")
         # The first column is called Date or Datetime.
-        head = F.array_join(F.slice(names, 2, 1000), ",") == ",".join(f.lower() for f in prices.names[1:])
-        lines = lines.where(~(head & F.get(names, F.lit(0)).isin("date", "datetime")))
+        others = ",".join(f.lower() for f in prices.names[1:])
+        lines = lines.where(~F.translate(F.lower("value"), "\"' \r", "").isin(f"date,{others}", f"datetime,{others}"))
         parsed = F.from_csv("value", whole.simpleString()[len("struct<"):-1].replace(":", " "), options)
     else:
         parsed = F.from_json("value", whole, options)
-    rows = lines.withColumn("_row", parsed)
-    bad = rows.where("_row._corrupt is not null").select(F.col("_row._corrupt").alias("_corrupt"), "file")
-    return rows.where("_row._corrupt is null").select("_row.*").drop("_corrupt"), bad
+    # A generator: a filter on a plain column would be pushed below it and parse every line a second time.
+    rows = lines.select("file", F.inline(F.array(parsed)))
+    if not split:
+        return rows
+    return rows.where("_corrupt is null").select(*prices.names), rows.where("_corrupt is not null").select("_corrupt", "file")
 
 
 def scan_bars(landed: DataFrame, order: Sequence[str], ticker: str = "ticker") -> DataFrame:

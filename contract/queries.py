@@ -122,12 +122,16 @@ def landed_files(spark, folder):
     for kind, lines in (("csv", csv), ("json", json)):
         path = shared_folder(spark, "landed")
         lines.write.text(path)
-        rows, bad = landing.read_landed(spark, path, kind)
-        good = rows.groupBy(F.trim("ticker").alias("ticker"), F.col("Date").cast("timestamp_ntz").alias("time")).agg(
-            F.count(F.lit(1)).alias("n_rows"), F.count("Close").alias("n_closed"), F.sum("Volume").alias("volume"))
-        failed = bad.groupBy(F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("timestamp_ntz").alias("time")).agg(
-            F.count(F.lit(1)).alias("n_rows"), F.count("_corrupt").alias("n_closed"), F.sum(F.length("_corrupt")).cast("double").alias("volume"))
-        part = good.unionByName(failed).withColumn("kind", F.lit(kind))
+        rows = landing.read_landed(spark, path, kind, split=False)
+        bad = F.col("_corrupt").isNotNull()
+        sums = rows.groupBy(
+            bad.alias("bad"), F.when(~bad, F.trim("ticker")).alias("ticker"),
+            F.when(~bad, F.col("Date").cast("timestamp_ntz")).alias("time")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count(F.when(~bad, F.col("Close"))).alias("n_closed"),
+            F.count("_corrupt").alias("n_bad"), F.sum("Volume").alias("volume"), F.sum(F.length("_corrupt")).alias("n_chars"))
+        part = sums.select("ticker", "time", "n_rows", F.when(F.col("bad"), F.col("n_bad")).otherwise(F.col("n_closed")).alias("n_closed"),
+                           F.when(F.col("bad"), F.col("n_chars").cast("double")).otherwise(F.col("volume")).alias("volume"),
+                           F.lit(kind).alias("kind"))
         out = part if out is None else out.unionByName(part)
     return rounded(out)
 

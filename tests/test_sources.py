@@ -40,6 +40,24 @@ def test_landed_frames_take_any_action(spark, kind):
     assert rows.where("Close = 2").count() == 1 and bad.where("_corrupt is null").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_landed_lines_are_parsed_once(spark, kind):
+    """No frame parses a line twice, and one frame may hold readable and unreadable rows."""
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    lines = {"csv": ["\"Date\", Ticker,Open,High,Low,Close,Volume", "2024-01-02,SPY,1,2,1,2,5", "date,SPY,1", "\t", "x,y,z,1,2,3,4"],
+             "json": ['{"Date": "2024-01-02T00:00:00Z", "ticker": "SPY", "Close": 2.0}', '{"Date": "2024', "\t", "{}"]}[kind]
+    with open(f"{path}/p.{kind}", "w") as f:
+        f.write("\n".join(lines))
+    frames = [*landing.read_landed(spark, path, kind), landing.read_landed(spark, path, kind, split=False)]
+    for df in frames:
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(f"from_{kind}(") == 1
+    rows, bad, both = frames
+    assert rows.columns == schemas.LANDED_PRICES.names and bad.columns == ["_corrupt", "file"]
+    assert both.where("_corrupt is null").select(*rows.columns).exceptAll(rows).isEmpty()
+    assert both.where("_corrupt is not null").select(*bad.columns).exceptAll(bad).isEmpty()
+    assert (rows.count(), bad.count(), both.count()) == {"csv": (1, 3, 4), "json": (3, 1, 4)}[kind]
+
+
 def test_failing_ticker_is_isolated(bars):
     out = landing.scan_universe(bars, ["SPY", "BAD", "QQQ"])
     n = {r.ticker: r.n for r in out.groupBy("ticker").agg(F.count("close").alias("n")).collect()}
