@@ -1,6 +1,7 @@
 """Training rows and sliding windows of feature vectors."""
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ def sliding_sequences(
     """Add ``seq``: the feature vectors of ``lookback`` consecutive rows of the ticker.
 
     Training looks at the rows before the labelled one; inference includes the latest row. Rows
-    without enough history are dropped.
+    without enough history are dropped. A row comes out ``lookback`` times as large, so blocks are smaller by that factor.
     """
+    series = replace(series, block_rows=max(series.block_rows // lookback, lookback))
     first, last = (1 - lookback, 0) if include_current else (-lookback, -1)
 
     def step(d: DataFrame) -> DataFrame:

@@ -45,8 +45,15 @@ def pseudo_labels(df: DataFrame, hmm: HmmModel) -> DataFrame:
 
 
 def labelled_sequences(df: DataFrame, labels: DataFrame, features: list[str]) -> DataFrame:
-    """Windows before each row with the row's own label."""
-    return sliding_sequences(df, features).select("ticker", "time", "seq").join(labels, ["ticker", "time"])
+    """Windows before each row with the row's own label, as often as the row has one.
+
+    Labels join the rows, not the windows, which hold each row once per place: those are never shuffled.
+    """
+    keys = ["ticker", "time"]
+    given = [c for c in labels.columns if c not in keys]
+    own = labels.groupBy(*keys).agg(F.collect_list(F.struct(*given)).alias("_own"))
+    windows = sliding_sequences(df.join(own, keys, "left"), features).filter(F.col("_own").isNotNull())
+    return windows.select(*keys, "seq", F.inline("_own"))
 
 
 def train_job(

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from barometry.models import classifier
+from barometry.models.sequences import sliding_sequences
 from barometry.operators import alerts
+from barometry.plans.training import labelled_sequences
+from barometry.session import GROWING, growing_rows
 
 
 def windows(spark, n, seed, noise):
@@ -44,6 +47,53 @@ def test_without_held_out_rows_all_rounds_run(spark):
     assert classifier.classify(made.model, train).count() == 50
 
 
+def _rows_and_labels(spark):
+    """Rows of two tickers with a time and a row without its keys; labels that miss rows, repeat, and lack a key."""
+    rows = [(t, d, float(d + (t == "B"))) for t in ("A", "B") for d in range(12)] + [(None, 3, 1.0), ("A", None, 2.0)]
+    labels = [("A", d, d % 4, 0.5) for d in range(0, 12, 2)] + [("A", 6, 3, 0.9), ("B", 5, 1, None), (None, 3, 2, 0.1),
+                                                               ("A", None, 2, 0.1), ("C", 5, 0, 0.2)]
+    timed = "ticker", "timestamp_seconds(day * 86400) as time"
+    return (spark.createDataFrame(rows, "ticker string, day int, x double").selectExpr(*timed, "x"),
+            spark.createDataFrame(labels, "ticker string, day int, label int, confidence double").selectExpr(
+                *timed, "label", "confidence"))
+
+
+def test_labelled_windows_are_those_of_a_join(spark, monkeypatch):
+    rows, labels = _rows_and_labels(spark)
+    made = labelled_sequences(rows, labels, ["x"])
+    assert made.columns == ["ticker", "time", "seq", "label", "confidence"] and made.count() == 0  # 60 rows are asked for
+    monkeypatch.setattr("barometry.plans.training.sliding_sequences", lambda d, f: sliding_sequences(d, f, 3))
+    made = labelled_sequences(rows, labels, ["x"])
+    plain = sliding_sequences(rows, ["x"], 3).select("ticker", "time", "seq").join(labels, ["ticker", "time"])
+    assert made.columns == plain.columns and made.count() == 6
+    assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_windows_are_not_shuffled(spark):
+    """A window is 60 times its row: labels are joined before the rows become windows."""
+    rows, labels = _rows_and_labels(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = labelled_sequences(rows, labels, ["x"])._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    windows = next(i for i, line in enumerate(lines) if "Window [collect_list" in line)
+    assert not [line for line in lines[:windows] if "Join" in line or "Exchange" in line]
+
+
+def test_blocks_of_windows_are_smaller(spark):
+    rows, _ = _rows_and_labels(spark)
+    plan = sliding_sequences(rows, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "div 4369" in plan and "div 262144" not in plan
+
+
+def test_growing_rows_puts_settings_back(spark):
+    before = {name: spark.conf.get(name, None) for name in GROWING}
+    with growing_rows(spark):
+        assert {name: spark.conf.get(name) for name in GROWING} == GROWING
+    assert {name: spark.conf.get(name, None) for name in GROWING} == before
+
+
 def test_alert_ids_differ(spark):
     rows = spark.createDataFrame(
         [("A", 1, 3, 0.9, 0), (None, 1, 3, 0.9, 0), ("A", None, 3, 0.9, 0), (None, None, 3, 0.9, 0)],
