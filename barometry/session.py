@@ -3,8 +3,6 @@
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,24 +65,3 @@ def written(df, name: str):
         else:
             spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-#: Least and usual size of a shuffle partition that adaptive execution merges to, where its rows grow some 60-fold.
-GROWING = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
-           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
-
-
-@contextmanager
-def growing_rows(spark: SparkSession) -> Iterator[None]:
-    """Shuffles run inside keep small partitions, for steps that make rows many times as large as those they read."""
-    before = {name: spark.conf.get(name, None) for name in GROWING}
-    for name, size in GROWING.items():
-        spark.conf.set(name, size)
-    try:
-        yield
-    finally:
-        for name, size in before.items():
-            if size is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, size)
