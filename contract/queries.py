@@ -88,7 +88,7 @@ def fitted_hmm(spark: SparkSession, folder: str) -> HmmModel:
 def trained(spark: SparkSession, folder: str) -> tuple[training.Models, DataFrame]:
     log = shared_folder(spark, "runs")
     models, accuracy = once(spark, folder, "trained", lambda: training.train_job(
-        features(spark, folder), TRAIN_FROM, SMALL_TRAINING, log))
+        features(spark, folder), TRAIN_FROM, log_path=log))
     _kept.setdefault((spark.sparkContext.applicationId, folder, "run_log"), log)
     return models, accuracy
 

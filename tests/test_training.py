@@ -1,14 +1,18 @@
-"""Early stopping by held-out loss, and alert ids."""
+"""Early stopping by held-out loss, what the registered training is given, and alert ids."""
 
+import inspect
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from barometry.constants import HMM_ITERATIONS
 from barometry.models import classifier
 from barometry.models.sequences import sliding_sequences
 from barometry.operators import alerts
+from barometry.plans import training
 from barometry.plans.training import labelled_sequences
+from contract import queries
 
 
 def windows(spark, n, seed, noise):
@@ -86,6 +90,30 @@ def test_blocks_of_windows_are_smaller(spark):
     assert "div 4369" in plan and "div 262144" not in plan
 
 
+@pytest.fixture
+def training_call(spark, monkeypatch):
+    """What the registered training hands to ``train_job``, and the frames it is given."""
+    rows = spark.createDataFrame([("A", 1, 0.0)], "ticker string, time long, x double")
+    signature, calls = inspect.signature(training.train_job), []
+
+    def train_job(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        calls.append(bound.arguments)
+        return "models", "accuracy"
+
+    monkeypatch.setattr(training, "train_job", train_job)
+    monkeypatch.setattr(queries, "features", lambda spark, folder: rows)
+    monkeypatch.setattr(queries, "_kept", {})
+    return calls, rows
+
+
+def test_registered_classifier_is_trained_on_labels_of_a_whole_fit(spark, training_call):
+    calls, rows = training_call
+    assert queries.trained(spark, "own")[0] == "models"
+    assert calls[0]["hmm_iterations"] == HMM_ITERATIONS and calls[0]["features"] is rows
+
+
 def test_alert_ids_differ(spark):
     rows = spark.createDataFrame(
         [("A", 1, 3, 0.9, 0), (None, 1, 3, 0.9, 0), ("A", None, 3, 0.9, 0), (None, None, 3, 0.9, 0)],
