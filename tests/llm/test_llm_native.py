@@ -441,6 +441,20 @@ def test_connected_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_component_search_bounds_its_broadcasts(spark, monkeypatch, few):
+    """Beyond a number of edges nothing is broadcast, however small the planner takes it for; below, only plain minima are."""
+    plans, write = [], graph.written
+    monkeypatch.setattr(graph, "FEW_EDGES", few, raising=False)
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    edges = [(i, i + 1) for i in range(0, 30, 2)] + [(i + 1, i + 2) for i in range(0, 12, 2)] + [(50, 60), (60, 50), (None, 7), (9, None), (3, 3)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(14)}, **{i: i // 2 * 2 for i in range(14, 30)}, 50: 50, 60: 50}
+    rounds = plans[1:]  # the first writes the edges as they come
+    assert rounds and all(("Broadcast" in p) == bool(few) and ("Generate" in p) != bool(few) for p in rounds)
+
+
 # -- the pipeline --------------------------------------------------------------------------------------
 
 def test_pipeline(spark, small_docs, odd_docs, no_docs):
