@@ -114,6 +114,13 @@ def test_registered_classifier_is_trained_on_labels_of_a_whole_fit(spark, traini
     assert calls[0]["hmm_iterations"] == HMM_ITERATIONS and calls[0]["features"] is rows
 
 
+def test_registered_accuracy_is_that_of_the_same_whole_fit(spark, training_call):
+    calls, _ = training_call
+    assert queries.QUERIES["validation_accuracy"](spark, "own") == "accuracy"
+    assert queries.trained(spark, "own") == ("models", "accuracy") and len(calls) == 1
+    assert calls[0]["hmm_iterations"] == HMM_ITERATIONS and calls[0]["start"] == queries.TRAIN_FROM
+
+
 def test_alert_ids_differ(spark):
     rows = spark.createDataFrame(
         [("A", 1, 3, 0.9, 0), (None, 1, 3, 0.9, 0), ("A", None, 3, 0.9, 0), (None, None, 3, 0.9, 0)],
